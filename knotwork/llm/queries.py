@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import copies, neighbours
+from knotwork.llm import copies, leak, neighbours
 from knotwork.plans.tables import table
 
 
@@ -40,6 +40,15 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copy_groups(_p7_runs(spark, sf_dir))
 
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = leak.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return hits.where("run > 0").select("doc_id", "item_id")
+
+
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), paraphrases=True)
+
+
+QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_paraphrases": p8_paraphrases}
 
 SQL: dict[str, str] = {}
