@@ -4,6 +4,8 @@ Index. Vectors are brought to unit length; k-means centroids, trained on a bound
 Lists next to each other are packed into cells of bounded size, so that a vector looking into several lists
 travels to few cells. Every vector is indexed in its nearest list and looks into its ``probes`` nearest lists.
 
+A cell's own rows come first and once, both to be searched and to search.
+
 Scan. Vectors are rotated at random and cut into blocks of dimensions. In a probed list the squared distances of
 the first block come from one small matrix product; a pair stays only while the distance so far passes the
 hypothesis test "it could still end within the wanted distance". The few pairs left are computed in double
@@ -44,7 +46,7 @@ class Search:
     list_rows: int = 128
     max_lists: int = 8192
     sample_per_list: int = 32
-    cell_rows: int = 8192
+    cell_rows: int = 16384
     #: Error of the hypothesis test: a larger value abandons fewer pairs, and fewer wrongly.
     epsilon: float = 2.1
     seed: int = 7
@@ -156,12 +158,9 @@ def _router(shared, search: Search):
                 near = _unit(x) @ index.centroids.T
                 top = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
                 home = near.argmax(axis=1).astype(np.int32)
-                # indexed once, salted if its list is spread over several cells
+                # indexed once, in the cell of its nearest list, salted if that list is spread over several cells
                 salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.spread[home]
-                cells = [index.cell[home] + salt]
-                rows = [np.arange(len(ids))]
-                lists = [home[:, None]]
-                sizes = [np.ones(len(ids), np.int64)]
+                home_cell = index.cell[home] + salt
                 # looks once into every cell that holds one of its lists
                 flat_row = np.repeat(np.arange(len(ids)), probes)
                 flat_list = top.ravel()
@@ -173,20 +172,17 @@ def _router(shared, search: Search):
                     flat_row = np.concatenate([flat_row, flat_row[again]])
                     flat_cell = np.concatenate([flat_cell, flat_cell[again] + extra])
                     flat_list = np.concatenate([flat_list, flat_list[again]])
-                order = np.lexsort((flat_list, flat_cell, flat_row))
+                # in a row's lists the nearest comes first; only in its own cell the row is not just a query
+                order = np.lexsort((flat_list, flat_list != home[flat_row], flat_cell, flat_row))
                 flat_row, flat_cell, flat_list = flat_row[order], flat_cell[order], flat_list[order]
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(flat_row) != 0) | (np.diff(flat_cell) != 0)]))
-                rows.append(flat_row[new])
-                cells.append(flat_cell[new])
-                sizes.append(np.diff(np.append(new, len(flat_row))))
-                row = np.concatenate(rows)
-                offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-                values = np.concatenate([lists[0].ravel(), flat_list]).astype(np.int32)
-                is_query = np.arange(len(row)) >= len(ids)
+                row, cells = flat_row[new], flat_cell[new]
+                offsets = np.append(new, len(flat_row)).astype(np.int32)
+                is_query = cells != home_cell[row]
                 vecs = pa.ListArray.from_arrays(np.arange(0, (len(row) + 1) * search.dims, search.dims, dtype=np.int32), x[row].ravel())
                 arrays = [
-                    pa.array(np.concatenate(cells).astype(np.int32)), pa.array(is_query), pa.array(ids[row]),
-                    pa.ListArray.from_arrays(offsets, values), vecs,
+                    pa.array(cells.astype(np.int32)), pa.array(is_query), pa.array(ids[row]),
+                    pa.ListArray.from_arrays(offsets, flat_list.astype(np.int32)), vecs,
                 ]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
 
@@ -237,23 +233,25 @@ def _scanner(shared, search: Search):
         ids = vecs = norms = rotated = None
         where: dict[int, np.ndarray] = {}
 
-        def settle() -> None:
-            """Make what was gathered of the cell searchable, by list."""
-            nonlocal ids, vecs, norms, rotated, where
-            where = {}
-            if not pending:
+        def settle() -> Iterator[pa.RecordBatch]:
+            """Make what was gathered of the cell searchable, by list; then it looks into the cell itself."""
+            nonlocal ids, vecs, norms, rotated, where, pending
+            gathered, pending, where = pending, [], {}
+            if not gathered:
                 ids = np.zeros(0, np.int64)
                 return
-            ids = np.concatenate([p[0] for p in pending])
-            lists = np.concatenate([p[1] for p in pending])
-            vecs = np.concatenate([p[2] for p in pending])
+            ids = np.concatenate([p[0] for p in gathered])
+            lists = np.concatenate([p[1][np.cumsum(p[2]) - p[2]] for p in gathered])
+            vecs = np.concatenate([p[3] for p in gathered])
             norms = np.sqrt((vecs.astype(np.float64) ** 2).sum(axis=1))
             rotated = _unit(vecs) @ rotation
             order = np.argsort(lists, kind="stable")
             names, starts = np.unique(lists[order], return_index=True)
             where = dict(zip(names.tolist(), np.split(order, starts[1:])))
+            for piece in gathered:
+                yield from look(*piece)
 
-        def look(q_ids, q_lists, q_sizes, q_vecs) -> pa.RecordBatch | None:
+        def look(q_ids, q_lists, q_sizes, q_vecs) -> Iterator[pa.RecordBatch]:
             q_rot = _unit(q_vecs) @ rotation
             row = np.repeat(np.arange(len(q_ids)), q_sizes)
             order = np.argsort(q_lists, kind="stable")
@@ -272,7 +270,7 @@ def _scanner(shared, search: Search):
                         hits_q.append(part[i])
                         hits_y.append(at[j])
             if not hits_q:
-                return None
+                return
             i, j = np.concatenate(hits_q), np.concatenate(hits_y)
             keep = q_ids[i] != ids[j]
             i, j = i[keep], j[keep]
@@ -286,9 +284,9 @@ def _scanner(shared, search: Search):
             keep = cos >= search.min_cos
             a, b, cos = q_ids[i[keep]], ids[j[keep]], cos[keep]
             if len(a) == 0:
-                return None
+                return
             forth, back = _best(a, b, cos, search.k), _best(b, a, cos, search.k)
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([a[forth], b[back]])), pa.array(np.concatenate([b[forth], a[back]])),
                     pa.array(np.concatenate([cos[forth], cos[back]])),
@@ -304,20 +302,25 @@ def _scanner(shared, search: Search):
                 if start == end:
                     continue
                 if cells[start] != cell:
+                    if pending:
+                        yield from settle()
                     cell, pending, ids = cells[start], [], None
                 piece = batch.slice(start, end - start)
-                own = np.asarray(piece.column(2))
-                lists = np.asarray(piece.column(3).flatten())
-                vec = _matrix(piece.column(4), dims)
+                rows = (
+                    np.asarray(piece.column(2)),
+                    np.asarray(piece.column(3).flatten()),
+                    np.asarray(pc.list_value_length(piece.column(3))),
+                    _matrix(piece.column(4), dims),
+                )
                 if not is_query[start]:
-                    pending.append((own, lists, vec))
+                    pending.append(rows)
                     continue
                 if ids is None:
-                    settle()
+                    yield from settle()
                 if len(ids):
-                    sizes = np.asarray(pc.list_value_length(piece.column(3)))
-                    if (found := look(own, lists, sizes, vec)) is not None:
-                        yield found
+                    yield from look(*rows)
+        if pending:
+            yield from settle()
 
     return scan
 
