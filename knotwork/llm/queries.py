@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import copies, leak, neighbours
+from knotwork.llm import copies, leak, mix, neighbours, spam
 from knotwork.plans.tables import table
 
 
@@ -49,6 +49,32 @@ def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), paraphrases=True)
 
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p8_paraphrases": p8_paraphrases}
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_report(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_report(spark, sf_dir).where("is_spam").select("doc_id")
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_groups": p7_groups,
+    "p8_found": p8_found,
+    "p8_paraphrases": p8_paraphrases,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_report": p10_report,
+}
 
 SQL: dict[str, str] = {}
