@@ -15,8 +15,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-INVALID = object()
-_CACHE: dict[str, object] = {}
+
+class INVALID:
+    """Stands for "no valid JSON". A class, since it stays the same object where functions are sent by value."""
+
 
 
 def _no_constant(name: str) -> None:
