@@ -71,13 +71,37 @@ WITH known AS (
   SELECT id, txid, ts, resource, lower(regexp_replace(status, '^\\s+|\\s+$', '', 'g')) AS st
   FROM devicerequest_history WHERE id IS NOT NULL AND txid IS NOT NULL
 ), usable AS (
-  SELECT id, txid, st = 'deleted' AS gone FROM known
+  SELECT id, txid, ts, resource, st = 'deleted' AS gone FROM known
   WHERE st = 'deleted' OR (st IN ('created','updated','recreated') AND json_valid(resource) AND json_type(CASE WHEN json_valid(resource) THEN resource END) = 'OBJECT')
   QUALIFY row_number() OVER (PARTITION BY id, txid ORDER BY ts DESC NULLS LAST, resource DESC NULLS LAST, st = 'deleted') = 1
 )
 """
 
+_TREE_PATH = "regexp_replace(replace(t.fullkey, '\"', ''), '^\\$\\.?', '')"
+
 SQL = {
+    "p1_found": _USABLE
+    + """, content AS (
+  SELECT u.id, u.txid, any_value(gone) AS gone, list_sort(list(t.fullkey || '=' || t.type || coalesce(t.atom::VARCHAR, '')) FILTER (
+    WHERE NOT gone AND t.fullkey <> '$.meta' AND NOT starts_with(t.fullkey, '$.meta.') AND NOT starts_with(t.fullkey, '$.meta['))) AS body
+  FROM (SELECT id, txid, gone, CASE WHEN gone THEN '{}' ELSE resource END AS doc FROM usable) u, json_tree(u.doc) t GROUP BY u.id, u.txid
+), steps AS (
+  SELECT id, txid, gone, gone OR lag(gone) OVER w IS NULL OR lag(gone) OVER w OR lag(body) OVER w IS DISTINCT FROM body AS point
+  FROM content WINDOW w AS (PARTITION BY id ORDER BY txid)
+), points AS (SELECT id, txid, gone, lead(txid) OVER (PARTITION BY id ORDER BY txid) AS next FROM steps WHERE point)
+SELECT id, txid AS txid_from, coalesce(next, -1) AS txid_to FROM points WHERE NOT gone
+""",
+    "p4_found": f"""
+WITH docs AS (
+  SELECT 'devicerequest' AS tbl, id AS record_key, resource FROM devicerequest UNION ALL
+  SELECT 'fhir_transaction', id::VARCHAR, resource FROM fhir_transaction
+), once AS (
+  SELECT tbl, record_key, CASE WHEN json_type(resource) = 'VARCHAR' THEN resource ->> '$' ELSE resource END AS doc
+  FROM (SELECT tbl, record_key, CASE WHEN json_valid(resource) THEN resource END AS resource FROM docs) x
+), tops AS (SELECT tbl, record_key, doc FROM (SELECT *, CASE WHEN json_valid(doc) THEN doc END AS ok FROM once) x WHERE json_type(ok) = 'OBJECT')
+SELECT DISTINCT tbl, record_key, regexp_replace({_TREE_PATH}, '\\.?[^.]+$', '') AS parent_path, {_TREE_PATH} AS path
+FROM tops, json_tree(tops.doc) t WHERE t.type = 'OBJECT' AND t.fullkey <> '$'
+""",
     "p2_found": """
 SELECT side, node_id FROM (
   SELECT 'source' AS side, source AS node_id FROM edges UNION ALL SELECT 'target', target FROM edges) x
