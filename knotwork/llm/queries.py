@@ -77,4 +77,45 @@ QUERIES = {
     "p10_report": p10_report,
 }
 
-SQL: dict[str, str] = {}
+
+
+def _similar_sql(collection: str, name: str, vec: str) -> str:
+    return f"""SELECT '{collection}' AS collection, least(a, b) AS embed_id_a, greatest(a, b) AS embed_id_b FROM (
+  SELECT x.embed_id AS a, y.embed_id AS b, round(list_cosine_similarity(x.v, y.v), 9) AS cos FROM v_{name} x, v_{name} y
+  WHERE x.embed_id <> y.embed_id AND list_cosine_similarity(x.v, y.v) >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY x.embed_id ORDER BY cos DESC, y.embed_id) <= 10) p WHERE cos >= 0.8"""
+
+
+def _valid_sql(name: str, vec: str) -> str:
+    return f"""v_{name} AS (SELECT DISTINCT embed_id, {vec}::DOUBLE[] AS v FROM {name} WHERE len({vec}) = 64
+  AND NOT list_contains(list_transform({vec}, lambda x: x IS NULL OR isnan(x)), true) AND list_contains(list_transform({vec}, lambda x: x <> 0), true))"""
+
+
+_FOLD = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_KEYED = f"""
+raw AS (
+  SELECT DISTINCT 'nodes' AS tbl, embed_id, {_FOLD.format("label")} AS head, attributes FROM nodes
+  WHERE embed_id IS NOT NULL AND label IS NOT NULL AND attributes IS NOT NULL
+  UNION SELECT DISTINCT 'edges', embed_id, length(source) || ':' || source || target, attributes FROM edges
+  WHERE embed_id IS NOT NULL AND source IS NOT NULL AND target IS NOT NULL AND attributes IS NOT NULL
+), docs AS (SELECT *, CASE WHEN json_valid(attributes) AND json_type(CASE WHEN json_valid(attributes) THEN attributes END) = 'OBJECT' THEN attributes END AS doc FROM raw),
+trees AS (
+  SELECT tbl, embed_id, head, attributes, list_sort(list({_FOLD.format("t.fullkey")} || '=' || t.type ||
+    CASE WHEN t.type = 'VARCHAR' THEN {_FOLD.format("t.atom ->> '$'")} ELSE coalesce(t.atom::VARCHAR, '') END)) AS body
+  FROM (SELECT * FROM docs WHERE doc IS NOT NULL) d, json_tree(d.doc) t GROUP BY ALL
+), keyed AS (
+  SELECT tbl, embed_id, head, body FROM trees
+  UNION ALL SELECT tbl, embed_id, head, ['text ' || {_FOLD.format("attributes")}] FROM docs WHERE doc IS NULL
+), grouped AS (SELECT DISTINCT tbl, embed_id, min(embed_id) OVER w AS first, head, body FROM keyed WINDOW w AS (PARTITION BY tbl, head, body))"""
+
+SQL: dict[str, str] = {
+    "p6_found": "WITH "
+    + ", ".join([_valid_sql("nodes_embedding", "vector_node"), _valid_sql("relations_embedding", "vector_relations")])
+    + " SELECT DISTINCT * FROM ("
+    + _similar_sql("nodes", "nodes_embedding", "vector_node")
+    + " UNION ALL "
+    + _similar_sql("relations", "relations_embedding", "vector_relations")
+    + ") z",
+    "p7_found": f"WITH {_KEYED} SELECT tbl, first AS embed_id_a, embed_id AS embed_id_b FROM grouped WHERE embed_id <> first",
+    "p7_groups": f"WITH {_KEYED} SELECT tbl, first AS embed_id, count(*) AS n_copies FROM grouped GROUP BY tbl, first",
+}
