@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from knotwork.operators import bundle, export, extract, lookup, merge, mutate, ontology, retrieve, traverse, vector
 from knotwork.sources import files
+from knotwork.session import ship
 from knotwork.sources.store import SnapshotStore
 
 
@@ -63,7 +64,7 @@ class GraphDB:
         self, spark: SparkSession, store: SnapshotStore | None = None, embedder=None, extractor=extract.rule_extractor,
         ontologies: list[DataFrame] | None = None,
     ) -> None:
-        self.spark = spark
+        self.spark = ship(spark)
         self.store = store or SnapshotStore(spark)
         self.embedder = embedder or vector.HashingEmbedder()
         self.extractor, self.ontologies = extractor, ontologies or []

@@ -22,17 +22,17 @@ def status_of(column: Column | str) -> Column:
 
 
 def known_status(feed: DataFrame, key: str, seq: str, status: str) -> DataFrame:
-    """Rows with key, sequence and a known status; adds ``_deleted``. Needs no look at the body."""
+    """Rows with key, sequence and a known status; adds ``__kw_deleted``. Needs no look at the body."""
     return (
         feed.where(F.col(key).isNotNull() & F.col(seq).isNotNull())
-        .withColumn("_status", status_of(status))
-        .where(F.col("_status").isin(*LIVE, DELETED))
-        .withColumn("_deleted", F.col("_status") == DELETED)
-        .drop("_status")
+        .withColumn("__kw_status", status_of(status))
+        .where(F.col("__kw_status").isin(*LIVE, DELETED))
+        .withColumn("__kw_deleted", F.col("__kw_status") == DELETED)
+        .drop("__kw_status")
     )
 
 
 def usable(feed: DataFrame, key: str, seq: str, status: str, body: str) -> DataFrame:
     """Usable rows. Bodies of deletions are not parsed."""
     rows = known_status(feed, key, seq, status)
-    return rows.where(F.col("_deleted") | is_json_object(F.when(~F.col("_deleted"), F.col(body))))
+    return rows.where(F.col("__kw_deleted") | is_json_object(F.when(~F.col("__kw_deleted"), F.col(body))))

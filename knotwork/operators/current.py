@@ -16,17 +16,17 @@ from knotwork.operators.changefeed import usable
 def latest_changes(
     feed: DataFrame, key: str = "id", seq: str = "txid", ts: str = "ts", status: str = "status", body: str = "resource"
 ) -> DataFrame:
-    """The last usable row of each key, with ``_deleted``.
+    """The last usable row of each key, with ``__kw_deleted``.
 
     Of rows with equal (key, sequence) the one with the latest time counts, null being earliest; of rows equal in
     that too the one with the greatest body, so that the result does not depend on arrival. Rows without key or
     sequence are no changes. An empty feed gives no rows.
     """
     rows = usable(feed, key, seq, status, body)
-    once = Window.partitionBy(key, seq).orderBy(F.col(ts).desc_nulls_last(), F.col(body).desc_nulls_last(), F.col("_deleted"))
+    once = Window.partitionBy(key, seq).orderBy(F.col(ts).desc_nulls_last(), F.col(body).desc_nulls_last(), F.col("__kw_deleted"))
     last = Window.partitionBy(key).orderBy(F.col(seq).desc())
-    rows = rows.withColumn("_rank", F.row_number().over(once)).where("_rank = 1")
-    return rows.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank")
+    rows = rows.withColumn("__kw_rank", F.row_number().over(once)).where("__kw_rank = 1")
+    return rows.withColumn("__kw_rank", F.row_number().over(last)).where("__kw_rank = 1").drop("__kw_rank")
 
 
 def apply_changes(
@@ -46,10 +46,10 @@ def apply_changes(
     """
     changes = latest_changes(feed, key, seq, ts, status, body)
     if base is None:
-        return changes.where(~F.col("_deleted")).drop("_deleted")
-    both = base.withColumn("_deleted", F.lit(False)).withColumn("_side", F.lit(0)).unionByName(
-        changes.withColumn("_side", F.lit(1)), allowMissingColumns=True
+        return changes.where(~F.col("__kw_deleted")).drop("__kw_deleted")
+    both = base.withColumn("__kw_deleted", F.lit(False)).withColumn("__kw_side", F.lit(0)).unionByName(
+        changes.withColumn("__kw_side", F.lit(1)), allowMissingColumns=True
     )
-    newest = Window.partitionBy(key).orderBy(F.col(seq).desc_nulls_last(), F.col("_side").desc())
-    merged = both.withColumn("_rank", F.row_number().over(newest)).where("(_rank = 1) and not _deleted")
-    return merged.drop("_rank", "_side", "_deleted")
+    newest = Window.partitionBy(key).orderBy(F.col(seq).desc_nulls_last(), F.col("__kw_side").desc())
+    merged = both.withColumn("__kw_rank", F.row_number().over(newest)).where("(__kw_rank = 1) and not __kw_deleted")
+    return merged.drop("__kw_rank", "__kw_side", "__kw_deleted")

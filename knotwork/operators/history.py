@@ -161,8 +161,8 @@ def build_history(
         F.col(key).cast("string").alias("key"),
         F.col(seq).cast("long").alias("seq"),
         F.col(ts).alias("ts"),
-        F.col("_deleted").alias("deleted"),
-        F.when(~F.col("_deleted"), F.col(body)).alias("body"),
+        F.col("__kw_deleted").alias("deleted"),
+        F.when(~F.col("__kw_deleted"), F.col(body)).alias("body"),
     )
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "key", "seq").sortWithinPartitions(
         "key", "seq", F.col("ts").desc_nulls_last(), F.col("body").desc_nulls_last()

@@ -128,4 +128,4 @@ def last_of_parallel(edges: DataFrame) -> DataFrame:
     """a, b and the last edge between them regardless of direction (greatest embed_id)."""
     ends = edges.withColumn("a", F.least("source", "target")).withColumn("b", F.greatest("source", "target"))
     w = Window.partitionBy("a", "b").orderBy(F.col("embed_id").desc())
-    return ends.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    return ends.withColumn("__kw_rank", F.row_number().over(w)).where("__kw_rank = 1").drop("__kw_rank")

@@ -37,7 +37,7 @@ def next_id(rows: DataFrame, name: str = "embed_id") -> int:
 def keep_one(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key; limited before the shuffle, so repeated keys do not pile up."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    return rows.withColumn("__kw_rank", F.row_number().over(w)).where("__kw_rank = 1").drop("__kw_rank")
 
 
 def current_nodes(nodes: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def nearest_batch(
     if not parts:
         return spark.createDataFrame([], BATCH)
     w = Window.partitionBy("query_id").orderBy("distance", "embed_id")
-    found = reduce(DataFrame.unionByName, parts).distinct().withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+    found = reduce(DataFrame.unionByName, parts).distinct().withColumn("__kw_rank", F.row_number().over(w)).where(F.col("__kw_rank") <= k).drop("__kw_rank")
     return found if threshold is None else found.where(F.col("distance") < threshold)
 
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,19 @@ def get_spark(app: str = "knotwork", cpus: int | str | None = None, **conf: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package, wherever the driver found it; once per context."""
+    sc = spark.sparkContext
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+        if not sc.master.startswith("local"):  # executors elsewhere get a copy
+            base = os.path.join(tempfile.mkdtemp(prefix="knotwork-"), "knotwork")
+            sc.addPyFile(shutil.make_archive(base, "zip", root, "knotwork"))
     return spark
 
 

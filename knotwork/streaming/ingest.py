@@ -29,7 +29,7 @@ def stream_changes(source: DataFrame, store: SnapshotStore, checkpoint: str) ->
     def apply(batch: DataFrame, _: int) -> None:
         base = store.read("resources")
         latest = current.latest_changes(batch).withColumn("embed_id", F.lit(None).cast("long"))
-        latest = latest.withColumn("status", F.when(F.col("_deleted"), "deleted").otherwise(F.lower(F.trim("status")))).drop("_deleted")
+        latest = latest.withColumn("status", F.when(F.col("__kw_deleted"), "deleted").otherwise(F.lower(F.trim("status")))).drop("__kw_deleted")
         both = base.unionByName(latest.select(*base.columns))
         store.commit(resources=mutate.keep_one(both, ["id"], F.col("txid").desc(), F.col("ts").desc_nulls_last(), F.col("resource").desc_nulls_last()))
 
