@@ -83,7 +83,7 @@ def text_parts(raw: str | None) -> list[tuple[str, str]]:
     while todo:
         entity, depth = todo.pop()
         if depth and entity[:1] in ("\r", "\n"):
-            head, body = "", entity
+            head, body = "", entity.lstrip("\r").removeprefix("\n")
         elif not depth and not _HEADER_LINE.match(entity):
             head, body = "", entity
         else:
