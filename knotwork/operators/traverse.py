@@ -1,9 +1,9 @@
 """Traversal: reachability, bodies, paths, neighbourhoods.
 
-One round of joins per hop, driven by a loop that only asks whether the frontier is empty. Each frontier is
-written to the shared folder, so a hop never recomputes an earlier one and survives lost executors; it holds ids
-only. The join of a frontier with the edges is left to adaptive execution: small frontiers are broadcast by their
-real size, big ones are joined by sort-merge with skewed ids split.
+One round of joins per hop, driven by a loop that only asks how large the frontier is. Each frontier is written
+to the shared folder, so a hop never recomputes an earlier one and survives lost executors; it holds ids only. A
+frontier of at most ``SMALL`` ids, by its count, is broadcast, so that the edges are not shuffled for it; a larger
+one is joined by sort-merge, where adaptive execution splits skewed ids.
 """
 
 from __future__ import annotations
@@ -14,14 +14,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.operators.lookup import limited, text_id
-from knotwork.session import cut
+from knotwork.session import cut, spool
+
+#: Ids that are broadcast at most.
+SMALL = 200_000
 
 
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
     out = edges.select(F.col("source").alias("at"), F.col("target").alias("to"))
     back = edges.select(F.col("target").alias("at"), F.col("source").alias("to"))
     steps = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    return steps.where("at is not null and to is not null")
+    steps = steps.where("at is not null and to is not null")
+    # edges that are made by a query and not read from files are made once, not once per hop
+    made = any(x in steps._jdf.queryExecution().optimizedPlan().toString() for x in ("Aggregate", "Join", "Window", "MapInArrow"))
+    return spool(steps) if made else steps
+
+
+def _sized(ids: DataFrame, n: int) -> DataFrame:
+    """Ids whose number is known, to be broadcast if that is small."""
+    return F.broadcast(ids) if n <= SMALL else ids
 
 
 def hops(
@@ -33,14 +44,17 @@ def hops(
     """
     steps = _steps(edges, direction)
     frontier = cut(seeds.select("id").where("id is not null").distinct().withColumn("hop", F.lit(0)))
-    found, hop = [frontier], 0
-    while (max_hops is None or hop < max_hops) and not frontier.isEmpty():
+    size = frontier.count()
+    found, hop, total = [frontier], 0, size
+    while size and (max_hops is None or hop < max_hops):
         if stop_at is not None and not frontier.where(F.col("id") == stop_at).isEmpty():
             break
         hop += 1
         seen = reduce(DataFrame.unionByName, found).select("id")
-        ahead = frontier.join(steps, F.col("id") == F.col("at")).select(F.col("to").alias("id")).distinct()
-        frontier = cut(ahead.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
+        ahead = steps.join(_sized(frontier.select("id"), size), F.col("at") == F.col("id"), "left_semi").select(F.col("to").alias("id")).distinct()
+        frontier = cut(ahead.join(_sized(seen, total), "id", "left_anti").withColumn("hop", F.lit(hop)))
+        size = frontier.count()
+        total += size
         found.append(frontier)
     return reduce(DataFrame.unionByName, found)
 
@@ -95,12 +109,8 @@ def neighbours_of(nodes: DataFrame, edges: DataFrame, ids: DataFrame, limit: int
     """Nodes at both ends of the edges that touch any of ``ids`` (column id). ``limit`` counts edges; 1 as in the
     reference's default. Ends without a node drop out."""
     wanted = ids.select("id").distinct()
-    touched = (
-        edges.join(wanted, F.col("source") == F.col("id"), "left_semi")
-        .unionByName(edges.join(wanted, F.col("target") == F.col("id"), "left_semi"))
-        .select("embed_id", "source", "target")
-        .distinct()
-    )
+    each = edges.select("embed_id", "source", "target", F.explode(F.array("source", "target")).alias("id"))
+    touched = each.join(wanted, "id", "left_semi").drop("id").distinct()
     ends = limited(touched, limit, "embed_id").select(F.explode(F.array("source", "target")).alias("id")).distinct()
     return nodes.join(ends, "id", "left_semi").select("id", "label", "attributes").distinct()
 
