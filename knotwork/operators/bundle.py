@@ -13,7 +13,7 @@ from knotwork.functions.strictjson import printable
 from knotwork.operators.mutate import keep_one
 from knotwork.operators.shred import read_object
 
-FOUND = "parent string, label string, child string, nested boolean, place long"
+FOUND = "parent string, label string, child string, nested boolean, bundle long, at long"
 
 
 def _walk(bundle: dict) -> Iterator[tuple[str, str, str | None, bool]]:
@@ -46,17 +46,17 @@ def _walk(bundle: dict) -> Iterator[tuple[str, str, str | None, bool]]:
 def _scan(schema: pa.Schema):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[tuple, int] = {}
+            out: dict[tuple, tuple[int, int]] = {}
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 top = read_object(text)
                 if top is None or top.get("resourceType") != "Bundle":
                     continue
                 for i, (parent, label, child, nested) in enumerate(_walk(top)):
                     edge = (parent, printable(label), child, nested)
-                    place = ((key or 0) << 20) + i
+                    place = (key or 0, i)
                     out[edge] = min(out.get(edge, place), place)
             if out:
-                rows = [(*e, p) for e, p in out.items()]
+                rows = [(*e, *p) for e, p in out.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return scan
@@ -77,7 +77,7 @@ def type_edges(bundles: DataFrame, ontology: DataFrame, key: str = "id", body: s
     ends, so of several properties between two types the first in (bundle, document) order stays.
     """
     found = bundles.select(F.col(key).cast("long"), F.col(body)).mapInArrow(_scan(arrow_schema(FOUND)), FOUND)
-    found = found.groupBy("parent", "label", "child", "nested").agg(F.min("place").alias("place"))
+    found = found.groupBy("parent", "label", "child", "nested").agg(F.min(F.struct("bundle", "at")).alias("place"))
     classes = ontology.select("class").distinct()
     declared = ontology.select(F.col("class").alias("parent"), F.col("property").alias("label"), F.col("range").alias("target")).join(
         classes.select(F.col("class").alias("target")), "target", "left_semi"

@@ -62,7 +62,7 @@ def index_arrays(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def _quoted(text: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"\\(?!n)", r"\\\\\\\\"), '"', r"\\\\"  + '"'), F.lit('"'))
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
 def label_of(document: str = "attributes", exclude: list[str] | None = None, hide_key: bool = False, separator: str = " ") -> Column:
