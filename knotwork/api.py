@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.operators import bundle, export, extract, lookup, merge, mutate, ontology, retrieve, traverse, vector
+from knotwork.operators import bundle, export, extract, lookup, merge, mutate, ontology, resources, retrieve, traverse, vector
 from knotwork.sources import files
 from knotwork.session import ship
 from knotwork.sources.store import SnapshotStore
@@ -264,6 +264,93 @@ class GraphDB:
         files.write_lines(export.dot_around(self.nodes, self.edges, [str(i) for i in node_ids]), path)
 
 
+class ResourceDB:
+    """Versioned resources with relations and vectors, over a `SnapshotStore`.
+
+    ``validate`` says whether a document may be stored; a new one that may not is passed over, an update is an error.
+    """
+
+    def __init__(self, spark: SparkSession, store: SnapshotStore | None = None, embedder=None, validate=None) -> None:
+        self.spark = ship(spark)
+        self.store = store or SnapshotStore(spark)
+        self.embedder = embedder or vector.HashingEmbedder()
+        self.validate = validate or (lambda document: isinstance(document, dict))
+        self.store.initialize()
+
+    def _apply(self, op: str, kind: str, resource_id: int | str, document: dict | None) -> None:
+        row = [(kind.lower(), str(resource_id), op, None if document is None else json.dumps(document), 0)]
+        ops = self.spark.createDataFrame(row, "resource_type string, id string, op string, body string, seq long")
+        ops = ops.withColumn("ts", F.current_timestamp())
+        current, history = resources.apply_operations(self.store.read("resources"), self.store.read("resource_history"), ops)
+        tables = {"resources": current, "resource_history": history}
+        if op == "remove":
+            tables["relations"] = resources.drop_relations(self.store.read("relations"), ops.select("id"))
+        self.store.commit(**tables)
+        self._embed()
+
+    def _embed(self) -> None:
+        """Vectors of gone resources leave, resources without one get theirs; a recreated one keeps its vector."""
+        own, have = self.store.read("resources"), self.store.read("resource_vectors")
+        keys = ["resource_type", "embed_id"]
+        kept = have.join(own.select(*keys), keys, "left_semi")
+        new = own.join(kept.select(*keys), keys, "left_anti")
+        self.store.commit(resource_vectors=kept.unionByName(new.select(*keys, self.embedder.column(F.col("resource")).alias("vector"))))
+
+    def add_node(self, label: str, document: dict, node_id: int | str) -> None:
+        if self.validate(document):
+            self._apply("add", label, node_id, document)
+
+    def update_node(self, label: str, document: dict, node_id: int | str) -> None:
+        if not self.validate(document):
+            raise ValueError("the document is not valid")
+        self._apply("update", label, node_id, document)
+
+    def remove_node(self, label: str, node_id: int | str) -> None:
+        self._apply("remove", label, node_id, None)
+
+    def add_edge(self, source: Node, target: Node, relation: str, document: dict | None = None) -> None:
+        row = [(str(source.id), source.label.lower(), str(target.id), target.label.lower(), relation, json.dumps(document or {}))]
+        schema = "source_id string, source_type string, target_id string, target_type string, relation string, resource string"
+        self.store.commit(relations=resources.add_relations(self.store.read("relations"), self.spark.createDataFrame(row, schema)))
+
+    def search_node(self, node_id: int | str, node_type: str | None) -> dict | None:
+        found = lookup.resource(self.store.read("resources"), str(node_id), node_type and node_type.lower()).first()
+        return None if found is None else json.loads(found[0])
+
+    def search_node_type(self, label: str) -> bool:
+        return lookup.resource_type_exists(self.store.read("resources"), label.lower())
+
+    def fetch_ids_from_db(self, node_type: str, limit: int | None = 10) -> list[str]:
+        return [r.id for r in lookup.resource_ids(self.store.read("resources"), node_type.lower(), limit).collect()]
+
+    def history(self, node_type: str, node_id: int | str) -> list[tuple]:
+        rows = self.store.read("resource_history").where((F.col("resource_type") == node_type.lower()) & (F.col("id") == str(node_id)))
+        return [(r.txid, r.status, json.loads(r.resource)) for r in rows.orderBy("txid").collect()]
+
+    def search_indegree_edges(self, target: int | str) -> list[tuple]:
+        return [tuple(r) for r in traverse.relation_in(self.store.read("relations"), str(target)).collect()]
+
+    def search_outdegree_edges(self, source: int | str) -> list[tuple]:
+        return [tuple(r) for r in traverse.relation_out(self.store.read("relations"), str(source)).collect()]
+
+    def get_connections(self, node_id: int | str) -> list[tuple]:
+        return [tuple(r) for r in traverse.relation_touching(self.store.read("relations"), str(node_id)).collect()]
+
+    def all_connected_nodes(self, node_id: int | str) -> list[str]:
+        return sorted(r.id for r in traverse.component(traverse.as_edges(self.store.read("relations")), node_id).collect())
+
+    def traverse(self, source: int | str, target: int | str | None = None) -> list[str]:
+        if target is None:
+            return []
+        path = traverse.shortest_path(traverse.as_edges(self.store.read("relations")), source, target)
+        return [r.id for r in path.orderBy("step").collect()]
+
+    def search(self, text: str, node_type: str, threshold: float = 0.9, limit: int = 1) -> list[dict]:
+        query = self.embedder.embed(vector.query_text(text))
+        hits = vector.search_resources(self.store.read("resources"), self.store.read("resource_vectors"), query, node_type.lower(), limit, threshold)
+        return [r.asDict() for r in hits.collect()]
+
+
 def visualize_graph(spark: SparkSession, graph: KnowledgeGraph) -> DataFrame:
     """DOT lines of a knowledge graph."""
     nodes = spark.createDataFrame([(str(n.id), n.label) for n in graph.nodes], "id string, label string")

@@ -62,6 +62,17 @@ def search_edges(
     return joined.orderBy(F.col("distance").desc() if descending else F.col("distance"), "embed_id")
 
 
+def search_resources(
+    resources: DataFrame, vectors: DataFrame, query: list[float], resource_type: str, k: int = 1, threshold: float | None = 0.9
+) -> DataFrame:
+    """embed_id, id, resource, distance of the nearest resources of a type; both tables are read in that partition."""
+    if not resource_type:
+        raise ValueError("resource_type is required")
+    hits = F.broadcast(nearest(vectors.where(F.col("resource_type") == resource_type), query, k, threshold))  # k rows
+    own = resources.where(F.col("resource_type") == resource_type)
+    return own.join(hits, "embed_id").select("embed_id", "id", "resource", "distance").orderBy("distance", "embed_id")
+
+
 def fetch_by_embed_ids(rows: DataFrame, embed_ids: list[int], sort_by: str = "", descending: bool = False) -> DataFrame:
     """Nodes or edges of the given embed_ids, without distance, in attribute order."""
     wanted = rows.sparkSession.createDataFrame([(int(e),) for e in embed_ids], "embed_id long")

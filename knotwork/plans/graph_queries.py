@@ -395,6 +395,17 @@ def search_subgraph_edges(spark, d):
     )[1]
 
 
+@query("""WITH v AS (SELECT DISTINCT embed_id, vector_relations AS v FROM relations_embedding WHERE len(vector_relations) = 64),
+q AS (SELECT v FROM v WHERE embed_id = (SELECT min(embed_id) FROM v)),
+top AS (SELECT embed_id, """ + _DIST.format(a="v.v", b="q.v") + """ AS distance FROM v, q ORDER BY distance, embed_id LIMIT 10)
+SELECT DISTINCT embed_id, source_id AS source, target_id AS target, relation AS label, round(distance, 9) AS distance FROM top JOIN relations USING (embed_id)""")
+def knn_relations(spark, d):
+    vectors = table(spark, d, "relations_embedding").withColumnRenamed("vector_relations", "vector").where("size(vector) = 64").distinct()
+    query = [float(x) for x in vectors.orderBy("embed_id").first()["vector"]]
+    hits = vector.search_edges(traverse.as_edges(table(spark, d, "relations")), vectors, query, 10, None)
+    return hits.select("embed_id", "source", "target", "label", F.round("distance", 9).alias("distance")).distinct()
+
+
 @query()
 def find_nodes_like(spark, d):
     embedder = vector.HashingEmbedder(64)

@@ -15,6 +15,7 @@ EDGE_VECTORS = NODE_VECTORS
 RESOURCES = (
     "resource_type string, id string, embed_id long, txid long, ts timestamp, status string, resource string"
 )
+RESOURCE_VECTORS = "resource_type string, embed_id long, vector array<float>"
 HISTORY = "resource_type string, id string, txid long, ts timestamp, status string, resource string"
 RELATIONS = (
     "embed_id long, source_id string, source_type string, target_id string, target_type string, relation string, "
@@ -28,6 +29,7 @@ TABLES = {
     "node_vectors": NODE_VECTORS,
     "edge_vectors": EDGE_VECTORS,
     "resources": RESOURCES,
+    "resource_vectors": RESOURCE_VECTORS,
     "resource_history": HISTORY,
     "relations": RELATIONS,
     "ontology": ONTOLOGY,

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork.api import Edge, EdgeInput, GraphDB, KnowledgeGraph, Node, visualize_graph
+from knotwork.api import Edge, EdgeInput, GraphDB, KnowledgeGraph, Node, ResourceDB, visualize_graph
 from knotwork.functions import typed
 from knotwork.functions.jsontext import json_tree, merge, minify
 from knotwork.operators import bundle, export, extract, lookup, mutate, ontology, resources, retrieve, traverse, vector
@@ -310,3 +310,26 @@ def test_streaming(spark, tmp_path):
     batch([("a", 2, None, "deleted", "R", None), ("b", 1, None, "created", "R", "{}")])
     batch([("a", 1, None, "created", "R", "{}"), ("b", 2, None, "updated", "R", '{"x":1}'), ("b", 1, None, "created", "R", "{}")])
     assert [(r.id, r.txid, r.resource) for r in ingest.live(store.read("resources")).collect()] == [("b", 2, '{"x":1}')]
+
+
+def test_resource_facade(spark, tmp_path):
+    db = ResourceDB(spark, SnapshotStore(spark, str(tmp_path / "r")), validate=lambda x: "bad" not in x)
+    db.add_node("Patient", {"name": "Ann"}, 1)
+    db.add_node("Patient", {"bad": 1}, 2)
+    db.update_node("Patient", {"name": "Anna"}, 1)
+    db.add_node("Device", {"kind": "pump"}, "d")
+    with pytest.raises(ValueError):
+        db.update_node("Patient", {"bad": 1}, 1)
+    with pytest.raises(ValueError):
+        db.search_node(1, None)
+    assert db.search_node(1, "Patient") == {"name": "Anna"} and db.search_node(2, "Patient") is None
+    assert db.search_node_type("device") and not db.search_node_type("Other") and db.fetch_ids_from_db("Patient") == ["1"]
+    assert db.history("Patient", 1) == [(1, "updated", {"name": "Anna"})]
+    db.add_edge(Node("d", "Device"), Node(1, "Patient"), "used_by")
+    assert db.traverse("d", 1) == ["d", "1"] and db.traverse("d") == [] and db.all_connected_nodes(1) == ["1", "d"]
+    assert db.search_indegree_edges(1) == [("d", "device", "{}")] and len(db.get_connections("d")) == 1
+    assert [h["id"] for h in db.search("pump", "Device", 9.0)] == ["d"]
+    db.remove_node("Patient", 1)
+    assert db.search_node(1, "Patient") is None and db.get_connections("d") == []
+    assert db.history("Patient", 1)[-1][1] == "deleted"
+    assert db.store.read("resource_vectors").count() == 1
