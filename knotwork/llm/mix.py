@@ -93,10 +93,11 @@ def source_name(column: str) -> F.Column:
 def measure(documents: DataFrame, mix: Mix) -> DataFrame:
     """One row per mail with its size in tokens and weight; a mail archived twice is one, under its smallest id.
 
-    Mails are the same if they share a ``message_id``; one without is itself. Null ids are no documents, a null or
+    Mails are the same if they share a ``message_id``; one without, null or blank, is itself. Null ids are no documents, a null or
     empty text has no tokens, a null source no name and so no share.
     """
-    name = F.coalesce(F.concat(F.lit("m"), "message_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    named = F.when(F.trim("message_id") != "", F.col("message_id"))
+    name = F.coalesce(F.concat(F.lit("m"), named), F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     rows = documents.where("doc_id is not null").select(
         name.alias("record"), F.col("doc_id").cast("long"), source_name("source").alias("source"), "text"
     )

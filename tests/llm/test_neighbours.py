@@ -78,8 +78,8 @@ def test_dirty_vectors(spark):
 @pytest.mark.parametrize("copies", [3, 7, 40])
 def test_equal_vectors(spark, copies):
     """A third and more of the rows equal: everyone gets the smallest ids, as brute force says."""
-    rows = cloud(60, 5) + [(1000 - i, [1.0, 2.0, 0, 0, 0, 0, 0, 0], 0, "") for i in range(copies)]
-    rows.append((2000, [1.0, 2.01, 0, 0, 0, 0, 0, 0], 0, ""))
+    rows = cloud(60, 5) + [(1000 - i, [1.0, 2.0] + [0.0] * 6, 0, "") for i in range(copies)]
+    rows.append((2000, [1.0, 2.01] + [0.0] * 6, 0, ""))
     got, _ = run(spark, rows, replace(SMALL, probes=64))
     assert got == {o: v for o, v in brute(rows, 5, 0.8).items() if v}
 
