@@ -7,11 +7,14 @@ compression ratio lies far below that of the corpus' prose of that length and la
 sentence punctuation. A mail is a case if more than half of its own words stand in such blocks.
 
 The expected ratios come from the prose of all documents, by language and length class, in one aggregation between
-the two steps; its result has at most languages x length classes rows.
+the two steps; its result has at most languages x length classes rows. A class with too little prose takes longer
+prose cut to its size; a block longer than the prose is cut to the greatest size that prose does fill, and judged by
+the ratio of its pieces, so that like is compared with like at every length.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -63,7 +66,10 @@ _LEET = re.compile(r"\b(?=\w*\d)(?=\w*[a-z])[a-z0-9]+\b")
 # The digits that stand for letters.
 _LETTERS = str.maketrans("013457", "oieast")
 
-BLOCKS = "doc_id long, lang string, blocks array<struct<prose: boolean, words: int, ends: int, size: int, ratio: float>>"
+BLOCKS = (
+    "doc_id long, lang string, blocks array<struct<prose: boolean, words: int, ends: int, size: int, ratio: float, "
+    "cuts: array<struct<class: int, ratio: float>>>>"
+)
 
 
 @dataclass(frozen=True)
@@ -72,6 +78,7 @@ class Spam:
 
     A block is redundant if its ratio is at most ``below`` times that expected; it has hardly any punctuation with
     fewer than ``ends`` sentence ends a word. ``share`` of a mail's own words in such blocks make it a case.
+    ``support`` blocks of prose make an expected ratio; in a small corpus a tenth of all its prose, five at least.
     """
 
     longest: int = 45
@@ -79,6 +86,7 @@ class Spam:
     below: float = 0.86
     ends: float = 0.025
     share: float = 0.5
+    support: int = 50
 
 
 def _without_blockquotes(markup: str) -> str:
@@ -147,11 +155,33 @@ def _spans(text: str) -> Iterator[tuple[str, bool]]:
             yield paragraph[at:], False
 
 
-def _block(text: str, prose: bool, words: int, ends: int) -> dict:
+def _packed(raw: bytes) -> int:
+    return len(zlib.compress(raw, 6)) - 8  # without the stream's frame
+
+
+def length_class(size: int) -> int:
+    """Two classes to a doubling."""
+    return math.floor(math.log2(max(1, size)) * 2)
+
+
+def _cuts(raw: bytes, lowest: int, all_of_it: bool) -> list[dict]:
+    """The ratio of pieces of the middle size of each smaller class, greatest first: one piece from the middle, or
+    pieces that cover it all."""
+    out = []
+    for c in range(length_class(len(raw)) - 1, lowest - 1, -1):
+        size = int(2 ** ((c + 0.5) / 2))
+        room, n = len(raw) - size, -(-len(raw) // size)
+        starts = [room * i // (n - 1) for i in range(n)] if all_of_it else [room // 2]
+        out.append({"class": c, "ratio": sum(_packed(raw[s : s + size]) for s in starts) / (size * len(starts))})
+    return out
+
+
+def _block(text: str, prose: bool, words: int, ends: int, spam: Spam) -> dict:
     folded = _LEET.sub(lambda m: m[0].translate(_LETTERS), " ".join(text.split()).lower())
     raw = folded.encode("utf-8", "replace")
-    packed = len(zlib.compress(raw, 6)) - 8  # without the stream's frame
-    return {"prose": prose, "words": words, "ends": ends, "size": len(raw), "ratio": packed / max(1, len(raw))}
+    judged = not prose and words >= spam.least and ends < words * spam.ends
+    cuts = _cuts(raw, length_class(2 * spam.least - 1), judged) if prose or judged else []
+    return {"prose": prose, "words": words, "ends": ends, "size": len(raw), "ratio": _packed(raw) / max(1, len(raw)), "cuts": cuts}
 
 
 def blocks_of(parts: list[tuple[str, str]], spam: Spam) -> list[dict]:
@@ -166,13 +196,13 @@ def blocks_of(parts: list[tuple[str, str]], spam: Spam) -> list[dict]:
                 continue
             prose = ended and n <= spam.longest and not (len(_URL.findall(span)) * 8 > n)
             if prose != state and run:
-                out.append(_block("\n".join(run), state, words, ends))
+                out.append(_block("\n".join(run), state, words, ends, spam))
                 run, words, ends = [], 0, 0
             state = prose
             run.append(span)
             words, ends = words + n, ends + ended
         if run:
-            out.append(_block("\n".join(run), state, words, ends))
+            out.append(_block("\n".join(run), state, words, ends, spam))
     return out
 
 
@@ -190,6 +220,32 @@ def _scanner(spam: Spam):
     return scan
 
 
+def _expected(prose: DataFrame, langs: DataFrame, spam: Spam) -> DataFrame:
+    """lang, usual: of every language the median ratio of prose by length class, where there is enough of it.
+
+    A class takes the prose of its size in the language, else in all languages, else longer prose cut to its size.
+    """
+    whole = prose.select("lang", "class", "ratio", F.lit(True).alias("whole"))
+    cut = prose.select("lang", F.inline("cuts")).select("lang", "class", "ratio", F.lit(False).alias("whole"))
+    sized = whole.unionByName(cut)
+    median = [
+        F.percentile_approx("ratio", 0.5).alias("any"), F.count(F.lit(1)).alias("n_any"),
+        F.percentile_approx(F.when(F.col("whole"), F.col("ratio")), 0.5).alias("own"), F.count(F.when(F.col("whole"), 1)).alias("n_own"),
+    ]
+    by_lang = sized.groupBy("lang", "class").agg(*median)
+    overall = sized.groupBy("class").agg(*median).select("class", *(F.col(c).alias(f"all_{c}") for c in ("any", "n_any", "own", "n_own")))
+    total = whole.agg(F.least(F.lit(spam.support), F.greatest(F.lit(5), F.ceil(F.count(F.lit(1)) / 10))).alias("enough"))  # one row
+    each = overall.crossJoin(F.broadcast(langs)).join(by_lang, ["lang", "class"], "left").crossJoin(F.broadcast(total))
+    usual = F.coalesce(
+        F.when(F.col("n_own") >= spam.support, F.col("own")),
+        F.when(F.col("all_n_own") >= F.col("enough"), F.col("all_own")),
+        F.when(F.col("n_any") >= spam.support, F.col("any")),
+        F.when(F.col("all_n_any") >= F.col("enough"), F.col("all_any")),
+    )
+    entries = each.withColumn("usual", usual).where("usual is not null")
+    return entries.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", "usual"))).alias("usual"))
+
+
 def spam_report(
     documents: DataFrame, spam: Spam | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
@@ -197,6 +253,7 @@ def spam_report(
 
     A language is its first two letters, lower case; a null or other one counts as unknown, which has its own
     expected ratios. A document given twice is judged once per row and kept once. A mail without own words is none.
+    Without prose enough for any length there is nothing to expect and a block's own ratio counts.
     """
     spam = spam or Spam()
     code = F.lower(F.trim(F.col(lang)))
@@ -204,13 +261,14 @@ def spam_report(
     features = spool(
         documents.select(F.col(doc_id).cast("long"), F.col(text), code.alias("lang")).mapInArrow(_scanner(spam), BLOCKS)
     )
-    each = features.select("doc_id", "lang", F.inline("blocks")).withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1))) * 2))
-    prose = each.where("prose")
-    expected = prose.groupBy("lang", "class").agg(F.percentile_approx("ratio", 0.5).alias("by_lang"), F.count(F.lit(1)).alias("n"))
-    overall = prose.groupBy("class").agg(F.percentile_approx("ratio", 0.5).alias("by_class"))
-    judged = each.join(F.broadcast(expected), ["lang", "class"], "left").join(F.broadcast(overall), "class", "left")
-    usual = F.coalesce(F.when(F.col("n") >= 50, F.col("by_lang")), F.col("by_class"), F.lit(1.0))
-    redundant = F.col("ratio") <= usual * spam.below
+    each = features.select("doc_id", "lang", F.inline("blocks")).withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1))) * 2).cast("int"))
+    expected = _expected(each.where("prose"), features.select("lang").distinct(), spam)
+    judged = each.join(F.broadcast(expected), "lang", "left")
+    own = F.array(F.struct(F.col("class"), F.col("ratio")))
+    # the block as it is where prose fills its class, else cut to the greatest class that prose fills
+    at = F.filter(F.concat(own, "cuts"), lambda c: F.col("usual")[c["class"]].isNotNull())
+    judged = judged.withColumn("at", F.get(at, F.lit(0)))
+    redundant = F.coalesce(F.col("at.ratio") <= F.col("usual")[F.col("at.class")] * spam.below, F.col("ratio") <= spam.below)
     bare = F.col("ends") < F.col("words") * spam.ends
     flagged = ~F.col("prose") & (F.col("words") >= spam.least) & redundant & bare
     return (

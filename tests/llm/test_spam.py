@@ -84,3 +84,19 @@ def test_blocks_count_all_words():
     parts = [("plain", "One sentence here. Another one there.\n\nbuy lamp buy lamp buy lamp buy lamp")]
     blocks = blocks_of(parts, Spam())
     assert [(b["prose"], b["words"]) for b in blocks] == [(True, 6), (False, 8)]
+
+
+def test_long_blocks_where_prose_is_short(spark):
+    rng = random.Random(8)
+    head = "Subject: s\nContent-Type: text/plain\n\n"
+    rows = [(i, head + sentences(rng, rng.randint(2, 9)), "en", "", 0) for i in range(300)]
+    notice = "Job 7 on host nine has ended well and needs no further care of yours today. " * 24
+    rows += [(1000 + i, head + notice, "en", "", 0) for i in range(3)]
+    pages = [keywords(rng, 160) for _ in range(4)]
+    assert all(1448 <= len(x) < 2048 for x in [notice, *pages])
+    rows += [(2000 + i, head + x, "en", "", 0) for i, x in enumerate(pages)]
+    rows.append((2010, head + " ".join(pages * 3), "en", "", 0))  # longer than any prose
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows.append((3000, head + " ".join("".join(rng.choice(letters) for _ in range(7)) for _ in range(500)), "en", "", 0))
+    report = spam.spam_report(spark.createDataFrame(rows, DOCS)).where("is_spam").collect()
+    assert {r.doc_id for r in report} == {2000, 2001, 2002, 2003, 2010}
