@@ -265,6 +265,16 @@ def lcs_share(passage: np.ndarray, window: np.ndarray) -> float:
     return float(row[-1]) / len(passage)
 
 
+def lcs_lengths(passages: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of every passage with the window beside it, row by row; number 0 equals nothing."""
+    row = np.zeros((len(windows), windows.shape[1] + 1), np.int16)
+    for word in passages.T:
+        same = (windows == word[:, None]) & (word > 0)[:, None]
+        grown = np.maximum(row[:, 1:], np.where(same, row[:, :-1] + 1, 0))
+        row[:, 1:] = np.maximum.accumulate(grown, axis=1)
+    return row[:, -1].astype(np.int64)
+
+
 def _contains(codes: np.ndarray, part: tuple[int, ...]) -> bool:
     n = len(codes) - len(part) + 1
     if n <= 0:
@@ -281,8 +291,8 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-#: Words looked at together; bounds the memory of a search task.
-_FLAT = 1 << 17
+#: Words looked at together, and hits whose words are compared together; they bound the memory of a search task.
+_FLAT, _HITS = 1 << 17, 1 << 14
 
 
 def _searcher(shared, leak: Leak, paraphrases: bool):
@@ -304,6 +314,10 @@ def _searcher(shared, leak: Leak, paraphrases: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         fans, n_items = np.diff(model.fan_starts), len(model.items.ids)
+        lengths = np.array([len(x) for x in model.wordings], np.int64)
+        wordings = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int32)
+        for p, wording in enumerate(model.wordings):
+            wordings[p, : len(wording)] = wording
         for batch in batches:
             out: list[tuple] = []
             for ids, codes in groups(batch) if len(model.passages) else ():
@@ -324,7 +338,10 @@ def _searcher(shared, leak: Leak, paraphrases: bool):
                 norms = np.sqrt((window**2).sum(axis=1))
                 live = np.flatnonzero(norms > 0)
                 near: list[np.ndarray] = []  # document * items + item of every candidate
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
+                best: dict[tuple[int, int], float] = {}  # greatest share of a passage in a window, of all hits
+                halves = np.concatenate([flat.reshape(-1, half), np.zeros((1, half), np.int32)])
+                after = np.full(len(owner), len(owner))  # the half that follows; none at a document's end
+                after[joined] = joined + 1
                 step = max(1, (1 << 22) // len(model.passages))
                 for s in range(0, len(live), step):
                     part = live[s : s + step]
@@ -333,11 +350,14 @@ def _searcher(shared, leak: Leak, paraphrases: bool):
                     docs = owner[part[w]]
                     near.append(np.unique(np.repeat(docs, fans[p]) * n_items + model.fan_items[_spans(model.fan_starts[p], fans[p])]))
                     if paraphrases:
-                        for i in np.flatnonzero(cosines[w, p] >= leak.paraphrase_cosine).tolist():
-                            value = float(cosines[w[i], p[i]])
-                            for item in model.fan_items[model.fan_starts[p[i]] : model.fan_starts[p[i]] + fans[p[i]]].tolist():
-                                if value > best.get((int(docs[i]), item), (-1.0,))[0]:
-                                    best[int(docs[i]), item] = (value, int(part[w[i]]), int(p[i]))
+                        hits = np.flatnonzero(cosines[w, p] >= leak.paraphrase_cosine)
+                        for h in range(0, len(hits), _HITS):
+                            hw, hp = part[w[hits[h : h + _HITS]]], p[hits[h : h + _HITS]]
+                            shares = lcs_lengths(wordings[hp], np.concatenate([halves[hw], halves[after[hw]]], axis=1)) / lengths[hp]
+                            for i in np.flatnonzero(shares >= leak.min_lcs).tolist():
+                                for item in model.fan_items[model.fan_starts[hp[i]] : model.fan_starts[hp[i] + 1]].tolist():
+                                    key = int(owner[hw[i]]), item
+                                    best[key] = max(best.get(key, 0.0), float(shares[i]))
                 candidates = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
                 runs: dict[tuple[int, int], int] = {}
                 for place, item, length in _verbatim(flat, model, leak.run):
@@ -347,11 +367,8 @@ def _searcher(shared, leak: Leak, paraphrases: bool):
                         runs[doc, item] = max(runs.get((doc, item), 0), length)
                 for (doc, item), length in runs.items():
                     out.append((ids[doc], int(model.items.ids[item]), length, None, None))
-                for (doc, item), (_, w, p) in best.items():
-                    if (doc, item) in runs:
-                        continue
-                    share = lcs_share(model.wordings[p], flat[w * half : (w + 1 + (owner[w] == owner[min(w + 1, len(owner) - 1)])) * half])
-                    if share >= leak.min_lcs:
+                for (doc, item), share in best.items():
+                    if (doc, item) not in runs:
                         answer = model.items.answers[item]
                         said = None if answer is None else _contains(codes[doc], answer)
                         out.append((ids[doc], int(model.items.ids[item]), 0, share, said))

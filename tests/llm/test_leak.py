@@ -88,3 +88,23 @@ def test_lcs():
     x = lambda *v: np.array(v, np.int32)
     assert lcs_share(x(1, 2, 3, 4), x(9, 1, 3, 9, 4)) == 0.75
     assert lcs_share(x(0, 0), x(0, 0)) == 0.0 and lcs_share(x(), x(1)) == 0.0
+
+
+def test_other_order_hides_no_paraphrase(spark):
+    docs, items = corpus()
+    own = items[4][1].split()[:12]
+    shuffled = own[::-1]  # the same words: the greatest cosine, no common order
+    filler = ["other"] * 24
+    gapped = own[:5] + ["other"] + own[6:11]  # 10 of 12 in order, no run of twelve
+    docs = docs + [(600, "Subject: y\n\n" + " ".join(shuffled + filler + gapped), "x"), (601, "Subject: y\n\n" + " ".join(shuffled + filler), "x")]
+    hits = leak.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), paraphrases=True)
+    rows = {(r.doc_id, r.item_id): r for r in hits.collect()}
+    assert (600, 4) in rows and rows[600, 4].run == 0 and abs(rows[600, 4].lcs - 10 / 12) < 1e-6
+    assert (601, 4) not in rows
+
+
+def test_lcs_together():
+    rng = np.random.default_rng(3)
+    passages, windows = rng.integers(0, 5, (200, 12)).astype(np.int32), rng.integers(0, 5, (200, 24)).astype(np.int32)
+    got = leak.lcs_lengths(passages, windows) / 12
+    assert np.allclose(got, [lcs_share(p, w) for p, w in zip(passages, windows)])
