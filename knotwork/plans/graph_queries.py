@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.functions import typed
+from knotwork.functions import jsontext, typed
 from knotwork.functions.jsontext import json_tree
 from knotwork.operators import bundle, export, extract, lookup, merge, mutate, ontology, resources, retrieve, traverse, vector
 from knotwork.plans import graph_view as gv
@@ -464,7 +464,7 @@ def upsert_merge(spark, d):
     def last(parity: int, field: str) -> DataFrame:
         rows = e.where(F.col("event_id") % 2 == parity)
         own = mutate.keep_one(rows, ["user_id"], F.col("event_id").desc())
-        document = F.concat(F.lit("{"), F.lit(f'"{field}":"'), "event_type", F.lit('",'), F.substring("props", 2, 1000))
+        document = jsontext.with_field("props", field, F.col("event_type"))
         return own.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.lit("user").alias("label"), document.alias("attributes"), F.col("event_id").alias("embed_id"))
 
     merged = mutate.upsert_nodes(last(0, "a"), last(1, "b").drop("embed_id"), stamp=False)

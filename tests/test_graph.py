@@ -333,3 +333,13 @@ def test_resource_facade(spark, tmp_path):
     assert db.search_node(1, "Patient") is None and db.get_connections("d") == []
     assert db.history("Patient", 1)[-1][1] == "deleted"
     assert db.store.read("resource_vectors").count() == 1
+
+
+def test_upsert_merge_keeps_long_documents(spark, tmp_path):
+    from knotwork.plans import graph_queries
+
+    props = json.dumps({"pad": "x" * 1200, "k": 5})
+    rows = [(1, 7, "view", "{}"), (2, 7, "buy", props), (4, 8, "buy", props)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.id: (r.a, r.b, r.k) for r in graph_queries.upsert_merge(spark, str(tmp_path)).collect()}
+    assert got == {"u7": ("buy", "view", "5"), "u8": ("buy", None, "5")}
