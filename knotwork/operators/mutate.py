@@ -66,7 +66,8 @@ def insert_edges(edges: DataFrame, new: DataFrame, *order: str, stamp: bool = Tr
     """All of ``new``; an edge with the endpoints and document of an earlier one replaces it. The label is no part
     of that identity."""
     order = order or ("source", "target", "attributes", "label")
-    numbered = number_rows(new.withColumn("attributes", jsontext.minify("attributes")), "embed_id", next_id(edges), *order)
+    doc = F.coalesce(jsontext.minify("attributes"), F.col("attributes"))
+    numbered = number_rows(new.withColumn("attributes", doc), "embed_id", next_id(edges), *order)
     both = edges.unionByName(_stamp(numbered) if stamp else numbered, allowMissingColumns=True)
     return replace_duplicates(both)
 

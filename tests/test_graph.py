@@ -343,3 +343,9 @@ def test_upsert_merge_keeps_long_documents(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.id: (r.a, r.b, r.k) for r in graph_queries.upsert_merge(spark, str(tmp_path)).collect()}
     assert got == {"u7": ("buy", "view", "5"), "u8": ("buy", None, "5")}
+
+
+def test_edges_with_other_text_are_kept(spark):
+    more = spark.createDataFrame([("a", "b", "x", "no json"), ("a", "b", "x", "nor this")], "source string, target string, label string, attributes string")
+    got = mutate.insert_edges(edges_of(spark, ("a", "b")).where("false"), more).collect()
+    assert {r.attributes for r in got} == {"no json", "nor this"}
