@@ -83,6 +83,15 @@ def fetch_by_embed_ids(rows: DataFrame, embed_ids: list[int], sort_by: str = "",
 BATCH = "query_id long, embed_id long, distance double"
 
 
+def _once(ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows delivered more than once, once."""
+    first: dict[tuple[int, bytes], int] = {}
+    for i, key in enumerate(zip(ids.tolist(), map(bytes, np.ascontiguousarray(y + 0.0)))):  # + 0.0: one zero
+        first.setdefault(key, i)
+    at = np.fromiter(first.values(), np.int64, len(first))
+    return ids[at], y[at]
+
+
 def _block_scanner(shared, k: int, exclude_self: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = shared.value
@@ -95,18 +104,22 @@ def _block_scanner(shared, k: int, exclude_self: bool):
             if not len(ids):
                 continue
             y = np.asarray(column.filter(pa.array(sized)).flatten(), dtype=np.float64).reshape(-1, dims)
+            ids, y = _once(ids, y)
+            surplus = len(ids) - len(np.unique(ids))  # other vectors under the same id, maybe at the same distance
             out_q, out_e, out_d = [], [], []
-            step = max(1, (1 << 22) // len(ids))
+            step = max(1, (1 << 21) // len(ids))
             norms = (y**2).sum(axis=1)
             for s in range(0, len(names), step):
                 q = queries[s : s + step]
                 near = squares[s : s + step, None] + norms[None, :] - 2 * (q @ y.T)
                 if exclude_self:
                     near[names[s : s + step, None] == ids[None, :]] = np.inf
-                keep = min(k + 8, len(ids))  # a margin: the product's last digits are not those of the exact sum
-                top = np.argpartition(near, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
-                row = np.repeat(np.arange(len(q)), top.shape[1])
-                col = top.ravel()
+                near[~np.isfinite(near)] = np.inf
+                # the product's last digits are not those of the exact sum: all that may be among the k are kept
+                slack = 8 * (dims + 4) * np.finfo(np.float64).eps * (squares[s : s + step, None] + norms[None, :])
+                keep = min(max(k, 1) + surplus, len(ids))
+                bound = np.partition(near + slack, keep - 1, axis=1)[:, keep - 1]
+                row, col = np.nonzero(near - slack <= bound[:, None])
                 fine = np.isfinite(near[row, col])
                 row, col = row[fine], col[fine]
                 total = np.zeros(len(row))
@@ -114,6 +127,9 @@ def _block_scanner(shared, k: int, exclude_self: bool):
                     total += (y[col, d] - q[row, d]) ** 2
                 order = np.lexsort((ids[col], total, row))
                 row, col, total = row[order], col[order], total[order]
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (ids[col[1:]] != ids[col[:-1]]) | (total[1:] != total[:-1])
+                row, col, total = row[fresh], col[fresh], total[fresh]
                 rank = np.arange(len(row)) - np.searchsorted(row, row)
                 own = rank < k
                 out_q.append(names[s + row[own]])

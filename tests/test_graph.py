@@ -349,3 +349,15 @@ def test_edges_with_other_text_are_kept(spark):
     more = spark.createDataFrame([("a", "b", "x", "no json"), ("a", "b", "x", "nor this")], "source string, target string, label string, attributes string")
     got = mutate.insert_edges(edges_of(spark, ("a", "b")).where("false"), more).collect()
     assert {r.attributes for r in got} == {"no json", "nor this"}
+
+
+def test_vectors_repeated_and_tied(spark):
+    shape = "embed_id long, vector array<float>"
+    q = spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, vector array<float>")
+    rows = [(7, [0.0, 1.0])] * 12 + [(8, [0.0, 2.0]), (9, [0.0, 3.0]), (10, [0.0, 4.0])]
+    twice = spark.createDataFrame(rows, shape).coalesce(1)
+    assert [(r.embed_id, r.distance) for r in vector.nearest_batch(twice, q, 3).orderBy("distance").collect()] == [(7, 1.0), (8, 4.0), (9, 9.0)]
+    mirrored = spark.createDataFrame([(7, [0.0, 1.0]), (7, [0.0, -1.0]), (7, [1.0, 0.0]), *rows[12:]], shape).coalesce(1)
+    assert {r.embed_id for r in vector.nearest_batch(mirrored, q, 3).collect()} == {7, 8, 9}
+    tied = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(600, 0, -1)] + [(0, [5.0, 5.0])], shape).coalesce(1)
+    assert {r.embed_id for r in vector.nearest_batch(tied, q, 3).collect()} == {1, 2, 3}
