@@ -11,6 +11,7 @@ to (the foreign key, together with the record's key) and its inlined values.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ ROWS = (
     "parent_path string, pos long, columns map<string,string>, inlined array<struct<path: string, parent_path: string>>"
 )
 GRAPH = "parent string, child string, repeated boolean"
+_MARKS = re.compile(r"[.\[\\]")
 #: Rows that leave Python together.
 FLUSH = 8192
 #: Schema edges the driver reads. A graph beyond this (field names that are data) is not inlined at all: every
@@ -56,6 +58,23 @@ def _objects(value: object, path: str) -> Iterator[tuple[dict, str, bool]]:
                     stack.append((item, f"{base}[{i}]"))
 
 
+def _scalars(value: list) -> Iterator[tuple[str, object]]:
+    """What stands beside the objects of a list (through lists of lists) and its place; nulls and empty lists only count."""
+    stack = [(value, "")]
+    while stack:
+        items, base = stack.pop()
+        for i, item in enumerate(items):
+            if isinstance(item, list):
+                stack.append((item, f"{base}[{i}]"))
+            elif item is not None and not isinstance(item, dict):
+                yield f"{base}[{i}]", item
+
+
+def column_name(name: str) -> str:
+    """A field's name in a column's, where bare dots and brackets are of the path."""
+    return _MARKS.sub(r"\\\g<0>", name)
+
+
 def _graph(root: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, str, bool]] = set()
@@ -147,6 +166,7 @@ def _shredder(tbl: str, layout: Layout, values: bool):
                             kind = type(value)
                             name = name if name.isascii() else printable(name)
                             here = f"{at}.{name}" if at else name
+                            column = prefix + column_name(name)
                             if kind is dict or kind is list:
                                 found = False
                                 for i, (child, where, repeated) in enumerate(_objects(value, here)):
@@ -155,11 +175,13 @@ def _shredder(tbl: str, layout: Layout, values: bool):
                                         rows.append((child, name, where, element, path, at, i))
                                     else:
                                         inlined.append({"path": where, "parent_path": at})
-                                        walk.append((child, where, f"{prefix}{name}."))
+                                        walk.append((child, where, f"{column}."))
                                 if values and not found:
-                                    columns.append((f"{prefix}{name}", encode(value)))
+                                    columns.append((column, encode(value)))
+                                elif values and kind is list:
+                                    columns.extend((column + place, encode(x)) for place, x in _scalars(value))
                             elif values:
-                                columns.append((f"{prefix}{name}", encode(value)))
+                                columns.append((column, encode(value)))
                     out.append((tbl, key, element, path, above, above_row, above_path, pos, list(dict(columns).items()), inlined))
                     if len(out) >= FLUSH:
                         yield flush()
@@ -176,7 +198,8 @@ def shred(records: DataFrame, tbl: str, key: str, body: str, values: bool = True
     the row it belongs to; ``parent_path`` is the nearest object around, which may be one inlined in that row.
     ``columns`` holds its scalars and lists of scalars as canonical JSON, inlined ones under their relative path;
     ``inlined`` the inlined objects. A list that holds objects gives rows; scalars beside them in the same list
-    are not kept. ``values=False`` leaves ``columns`` empty. A body that is null, not valid or no object (after one
+    have a column each, named with their place as in ``a[2]``. A dot, bracket or backslash of a field's own name
+    stands after a backslash. ``values=False`` leaves ``columns`` empty. A body that is null, not valid or no object (after one
     unwrapping) gives no rows; empty objects do; null elements only count in the numbering.
     """
     layout = layout or analyse(records, body, tbl)

@@ -199,3 +199,11 @@ def test_batches_equal_one_feed(spark):
         rng.shuffle(part)
         state = current.apply_changes(state, spark.createDataFrame(part, FEED))
     assert {(r.id, r.txid) for r in state.collect()} == whole
+
+
+def test_mixed_lists_and_dotted_names_lose_nothing(spark):
+    text = '{"m": [{"x": 1}, 7, [8, {"x": 2}], "t", null], "a": {"b": 1}, "a.b": 2, "m[1]": 3}'
+    rows = shred.shred(spark.createDataFrame([(1, text)], "id long, resource string"), "t", "id", "resource").collect()
+    top = next(r for r in rows if r.element == "t")
+    assert top.columns == {"m[1]": "7", "m[2][0]": "8", "m[3]": '"t"', "a.b": "1", "a\\.b": "2", "m\\[1]": "3"}
+    assert sorted(r.columns["x"] for r in rows if r.element == "m") == ["1", "2"]
