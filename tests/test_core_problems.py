@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 from collections import Counter
 
@@ -39,6 +40,30 @@ def test_tree_aggregate_rejects_fan_in(spark):
         treeagg.tree_aggregate(spark.range(3), ["id"], {}, 1)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tree_does_not_hang_on_files(spark, tmp_path):
+    """One file of 700 rows is many chunks: 64, 22, 8 and 3 states of a key meet in turn."""
+    spark.createDataFrame(edge_rows(700), EDGES).coalesce(1).write.parquet(f"{tmp_path}/edges")
+    df = spark.read.parquet(f"{tmp_path}/edges")
+    chunks = treeagg.chunked(df, 11)
+    assert (chunks.n_chunks, chunks.n_rows) == (64, 700)
+    assert max(r["count"] for r in chunks.rows.groupBy("__kw_chunk").count().collect()) == 11
+    assert plan_of(treeagg.tree_aggregate(df, ["source"], {"n": ("count", F.lit(1))}, 3, 11)).count("Exchange") == 5
+
+
+def test_p2_found_builds_the_tree(spark):
+    from knotwork.plans import data_queries
+
+    small = "/root/testdata/sf0.01"
+    if not os.path.isdir(small):
+        pytest.skip("no test tables")
+    plan = plan_of(data_queries.p2_found(spark, small))
+    assert "__kw_chunk" in plan and plan.count("Exchange") >= 2
+
+
 def test_heavy_ids_counts_all_rows(spark):
     rows = edge_rows(600) + [(None, None, None, None, 1, "x", "y")] * 30
     df = spark.createDataFrame(rows + rows[:5], EDGES)
