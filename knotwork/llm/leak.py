@@ -1,17 +1,19 @@
 """Held-out passages leaking into a corpus: latent semantic retrieval, then checks of what was retrieved.
 
-1. Words. Every mail is decoded once and written as word numbers of the items' vocabulary (0: any other word);
-   the same pass counts in how many documents each word occurs. Documents travel no further than this table.
-2. Latent space. TF-IDF vectors of the items' passages, idf over all documents, are decomposed by a randomised SVD:
-   subspace iteration whose products with the passage matrix are computed partition by partition and summed. The
+1. Words. The items' vocabulary is numbered; every mail is decoded once, whatever the number of items, and written as
+   word numbers (0: any other word). The same pass counts in how many documents each word occurs, summed in the cluster.
+2. Latent space. The TF-IDF vectors of the items' passages, idf over all documents, are a distributed matrix that is
+   decomposed by a randomised SVD: subspace iteration whose products are added up word by word in the cluster. The
    basis is fitted on the items and not on the corpus, in which the items' wording is too rare to get a direction.
 3. Search. A document is cut into half-overlapping windows, so that any run of ``run`` words lies in one whole. A
-   window's latent vector meets those of all item passages in one matrix product; cosines decide on candidates.
-4. Checks. Candidates are verified word by word: the longest common run and, for paraphrases, the longest common
-   subsequence and whether the answer is there too.
-
-Items are held-out material and few against a corpus; they are worked off in blocks of ``item_block``, so that what
-tasks hold in memory (vocabulary, basis, passages) is bounded by the block and not by their number.
+   window's latent vector meets those of all item passages in one matrix product. A window and a passage whose cosine
+   reaches ``min_cosine`` are a candidate; nothing else of a document is ever compared with an item.
+4. Checks. A candidate's longest common subsequence must hold the part of the passage that a leaked run overlaps; what
+   is left is checked for a common run of words around that passage. With ``paraphrases``, a candidate that is near
+   enough and has most of the passage as a subsequence counts too, and the answer is looked for.
+
+What a search task holds is bounded by ``item_block`` items; further blocks read the word numbers again, not the mails.
+The vocabulary is broadcast: distinct words of the items, which grow far slower than their number.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from knotwork.session import spool
 
 _WORD = re.compile(r"[^\W_]+")
 
-CODED = "doc_id long, codes binary, df binary, docs long"
-HITS = "doc_id long, item_id long, run int, lcs float, answered boolean"
+CODED = "doc_id long, codes binary, df array<struct<word: int, n: long>>, docs long"
+ITEMS = "item_id long, codes binary, answer binary"
+PASSAGES = "item_id long, codes binary, answer binary, starts array<int>, latent binary"
+HITS = "doc_id long, item_id long, cosine float, run int, lcs float, answered boolean"
 
 
 def words(text: str) -> list[str]:
@@ -51,41 +55,49 @@ class Leak:
     rank: int = 64
     oversample: int = 16
     rounds: int = 2
-    min_cosine: float = 0.4
+    min_cosine: float = 0.3
     #: Paraphrases must be nearer, and share this much of the passage retrieved as a subsequence.
-    paraphrase_cosine: float = 0.7
+    paraphrase_cosine: float = 0.4
     min_lcs: float = 0.7
     item_block: int = 4096
     seed: int = 11
 
+    @property
+    def overlap(self) -> int:
+        """Words that a leaked run has in common, in order, with the passage that lies best along it."""
+        return max(1, min(self.run, self.passage) - self.stride // 2)
 
-@dataclass(frozen=True)
-class Items:
-    """A block of items as word numbers (from 1), with the vocabulary that numbers them."""
 
-    ids: np.ndarray
-    codes: list[np.ndarray]
-    answers: list[tuple[int, ...] | None]
-    vocabulary: dict[str, int]
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own: set[str] = set()
+        for column in batch.columns:
+            for text in column.to_pylist():
+                own.update(words(text or ""))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], names=["word"])
+
+
+def _numberer(shared):
+    schema = arrow_schema(ITEMS)
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: dict[str, int] = shared.value
+        for batch in batches:
+            texts, answers = (
+                [np.array([vocabulary[w] for w in words(x or "")], np.int32).tobytes() for x in batch.column(i).to_pylist()] for i in (1, 2)
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array(texts, pa.binary()), pa.array(answers, pa.binary())], schema=schema
+            )
 
-def number_items(rows: list[tuple[int, str | None, str | None]]) -> Items:
-    vocabulary: dict[str, int] = {}
-    ids, codes, answers = [], [], []
-    for item, text, answer in rows:
-        own = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text or "")]
-        said = words(answer) if answer is not None else []
-        ids.append(item)
-        codes.append(np.asarray(own, np.int32))
-        answers.append(tuple(vocabulary.setdefault(w, len(vocabulary) + 1) for w in said) or None)
-    return Items(np.asarray(ids, np.int64), codes, answers, vocabulary)
+    return number
 
 
 def _coder(shared):
     schema = arrow_schema(CODED)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary: dict[str, int] = shared.value.vocabulary
+        vocabulary: dict[str, int] = shared.value
         get = vocabulary.get
         df = np.zeros(len(vocabulary) + 1, np.int64)
         docs = 0
@@ -105,10 +117,12 @@ def _coder(shared):
                 coded.append(codes.tobytes())
             nothing = pa.nulls(len(ids))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(coded, pa.binary()), nothing.cast(pa.binary()), nothing.cast(pa.int64())],
+                [pa.array(ids, pa.int64()), pa.array(coded, pa.binary()), nothing.cast(schema.field(2).type), nothing.cast(pa.int64())],
                 schema=schema,
             )
-        yield pa.RecordBatch.from_pylist([{"doc_id": None, "codes": None, "df": df.tobytes(), "docs": docs}], schema)
+        held = np.flatnonzero(df)
+        counts = [{"word": int(w), "n": int(df[w])} for w in held]
+        yield pa.RecordBatch.from_pylist([{"doc_id": None, "codes": None, "df": counts, "docs": docs}], schema)
 
     return code
 
@@ -131,12 +145,49 @@ def _tfidf(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, weights / norm if norm > 0 else weights
 
 
+def _item_passages(codes: np.ndarray, leak: Leak) -> list[tuple[int, int]]:
+    """An item's passages; one that is too short to leak has none."""
+    return _windows(codes, leak.passage, leak.stride) if len(codes) >= leak.run else []
+
+
+def _passage_rows(shared, leak: Leak):
+    """Rows of the passage matrix: word numbers and weights."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        for batch in batches:
+            held, weights = [], []
+            for raw in batch.column(0).to_pylist():
+                codes = np.frombuffer(raw, np.int32)
+                for a, b in _item_passages(codes, leak):
+                    own, w = _tfidf(codes[a:b], idf)
+                    held.append(own)
+                    weights.append(w)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], names=["words", "weights"]
+            )
+
+    return rows
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shares of the same word added up."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for word, share in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            row = np.frombuffer(share)
+            total[word] = total[word] + row if word in total else row
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["word", "share"]
+    )
+
+
 def randomised_svd(passages: DataFrame, width: int, leak: Leak) -> np.ndarray:
     """The leading right singular vectors (width x rank) of the matrix whose rows are ``passages``.
 
     ``passages`` has columns words array<int> and weights array<float>. Each round multiplies the current basis by
-    AᵀA: every partition adds up its rows' share (width x (rank + oversample) numbers, whatever its size), the
-    shares are summed, then orthonormalised.
+    AᵀA: every partition adds up its rows' share of each word, the shares of a word meet in one task, and the driver
+    gets each word's sum once (width x (rank + oversample) numbers), to make the columns orthonormal.
     """
     sc = passages.sparkSession.sparkContext
     rng = np.random.default_rng(leak.seed)
@@ -147,15 +198,23 @@ def randomised_svd(passages: DataFrame, width: int, leak: Leak) -> np.ndarray:
         def multiply(batches, shared=shared):
             b = shared.value
             total = np.zeros_like(b)
+            touched = np.zeros(len(b), bool)
             for batch in batches:
                 for own, weights in zip(batch.column(0), batch.column(1)):
                     own, weights = np.asarray(own.values), np.asarray(weights.values, dtype=np.float64)
                     if len(own):
                         total[own] += weights[:, None] * (weights @ b[own])[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["share"])
+                        touched[own] = True
+            held = np.flatnonzero(touched)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held.astype(np.int32)), pa.array([total[w].tobytes() for w in held], pa.binary())], names=["word", "share"]
+            )
 
-        shares = passages.select("words", "weights").mapInArrow(multiply, "share binary").toLocalIterator()
-        total = sum((np.frombuffer(r.share).reshape(basis.shape) for r in shares), np.zeros_like(basis))
+        shares = passages.select("words", "weights").mapInArrow(multiply, "word int, share binary")
+        summed = shares.repartition("word").mapInArrow(_added, "word int, share binary").toArrow()
+        total = np.zeros_like(basis)
+        for word, share in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist()):
+            total[word] = np.frombuffer(share)
         left, size, _ = np.linalg.svd(total, full_matrices=False)
         keep = size > size[0] * 1e-10 if len(size) and size[0] > 0 else np.zeros(len(size), bool)
         basis = left[:, keep] if keep.any() else left[:, :1] * 0
@@ -163,95 +222,77 @@ def randomised_svd(passages: DataFrame, width: int, leak: Leak) -> np.ndarray:
     return np.ascontiguousarray(basis[:, : leak.rank], dtype=np.float32)
 
 
+def _projector(shared, leak: Leak):
+    """Items with the places and latent vectors (of length 1) of their passages."""
+    schema = arrow_schema(PASSAGES)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, basis = shared.value
+        for batch in batches:
+            starts, latent = [], []
+            for raw in batch.column(1).to_pylist():
+                codes = np.frombuffer(raw, np.int32)
+                places = _item_passages(codes, leak)
+                rows = np.zeros((len(places), basis.shape[1]), np.float32)
+                for row, (a, b) in zip(rows, places):
+                    own, weights = _tfidf(codes[a:b], idf)
+                    row[:] = (weights[:, None] * basis[own]).sum(axis=0)
+                norms = np.sqrt((rows**2).sum(axis=1))
+                starts.append([a for a, _ in places])
+                latent.append((rows / np.where(norms > 0, norms, 1)[:, None]).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(starts, pa.list_(pa.int32())), pa.array(latent, pa.binary())],
+                schema=schema,
+            )
+
+    return project
+
+
 @dataclass(frozen=True)
 class Model:
     """What a search task holds for a block of items."""
 
-    items: Items
+    ids: np.ndarray
+    codes: list[np.ndarray]
+    answers: list[tuple[int, ...] | None]
+    idf: np.ndarray
     embedding: np.ndarray  # word number -> latent vector, idf applied
-    passages: np.ndarray  # latent item passages of length 1
-    wordings: list[np.ndarray]  # the passages' word numbers
-    fan_starts: np.ndarray  # passage -> where its items (positions) begin in fan_items
+    passages: np.ndarray  # latent passages of length 1, each wording once
+    wordings: np.ndarray  # the passages' word numbers, filled up with -1
+    lengths: np.ndarray
+    fan_starts: np.ndarray  # passage -> where its occurrences begin in fan_items and fan_places
     fan_items: np.ndarray
-    run_hashes: np.ndarray  # sorted hashes of the items' runs
-    run_places: np.ndarray  # item position, offset of each
+    fan_places: np.ndarray
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _run_hashes(codes: np.ndarray, run: int) -> np.ndarray:
-    """Hash of the run that starts at each place."""
-    n = len(codes) - run + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    wide = codes.astype(np.uint64)
-    total = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(run):
-            total = total * _BASE + wide[i : i + n]
-    return total
-
-
-def build_model(spark, items: Items, df: np.ndarray, docs: int, leak: Leak) -> Model:
-    idf = np.log((docs + 1) / (df + 1)) + 1
-    idf[0] = 0
+def build_model(block: list, idf: np.ndarray, embedding: np.ndarray, leak: Leak) -> Model:
+    """The model of a block of item rows (PASSAGES); a passage that several items share is searched once."""
     seen: dict[bytes, int] = {}
-    owners: list[list[int]] = []
-    rows, wordings = [], []
-    for at, codes in enumerate(items.codes):
-        if len(codes) < leak.run:
-            continue
-        for a, b in _windows(codes, leak.passage, leak.stride):
-            key = codes[a:b].tobytes()
-            if key not in seen:
-                seen[key] = len(owners)
-                owners.append([])
-                rows.append(_tfidf(codes[a:b], idf))
-                wordings.append(codes[a:b])
-            if not owners[seen[key]] or owners[seen[key]][-1] != at:
-                owners[seen[key]].append(at)
-    width = len(items.vocabulary) + 1
-    if not rows:
-        empty = np.zeros((0, 1), np.float32)
-        return Model(items, np.zeros((width, 1), np.float32), empty, [], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))
-    passages = spark.createDataFrame(
-        [(own.tolist(), weights.tolist()) for own, weights in rows], "words array<int>, weights array<float>"
-    ).repartition(max(1, len(rows) // 4096))
-    basis = randomised_svd(passages, width, leak)
-    latent = np.stack([(weights[:, None] * basis[own]).sum(axis=0) for own, weights in rows]).astype(np.float32)
-    norms = np.sqrt((latent**2).sum(axis=1))
-    latent /= np.where(norms > 0, norms, 1)[:, None]
-    hashes, places = [], []
-    for at, codes in enumerate(items.codes):
-        h = _run_hashes(codes, leak.run)
-        hashes.append(h)
-        places.append(np.stack([np.full(len(h), at), np.arange(len(h))], axis=1))
-    hashes, places = np.concatenate(hashes), np.concatenate(places)
-    order = np.argsort(hashes, kind="stable")
-    embedding = (idf[:, None] * basis).astype(np.float32)
-    fan_starts = np.concatenate([[0], np.cumsum([len(o) for o in owners])])
-    return Model(items, embedding, latent, wordings, fan_starts, np.concatenate(owners).astype(np.int64), hashes[order], places[order])
-
-
-def _verbatim(flat: np.ndarray, model: Model, run: int) -> Iterator[tuple[int, int, int]]:
-    """(place, item position, length) of the common runs of at least ``run`` words, each from its first place."""
-    h = _run_hashes(flat, run)
-    left = np.searchsorted(model.run_hashes, h, "left")
-    hit = np.flatnonzero((left < len(model.run_hashes)) & (model.run_hashes[np.minimum(left, len(model.run_hashes) - 1)] == h))
-    measured: dict[tuple[int, int], int] = {}  # (item, place - offset) -> end of the run last measured
-    for place in hit.tolist():
-        right = int(np.searchsorted(model.run_hashes, h[place], "right"))
-        for at, offset in model.run_places[left[place] : right].tolist():
-            if place < measured.get((at, place - offset), -1):
-                continue
-            own = model.items.codes[at]
-            most = min(len(own) - offset, len(flat) - place)
-            same = own[offset : offset + most] == flat[place : place + most]
-            length = most if same.all() else int(np.argmin(same))
-            if length >= run:
-                measured[at, place - offset] = place + length - run + 1
-                yield place, at, length
+    fans: list[list[tuple[int, int]]] = []
+    latent, wordings, codes = [], [], []
+    for at, row in enumerate(block):
+        own = np.frombuffer(row.codes, np.int32)
+        codes.append(own)
+        rows = np.frombuffer(row.latent, np.float32).reshape(len(row.starts), -1) if row.starts else []
+        for start, vector in zip(row.starts, rows):
+            wording = own[start : start + leak.passage]
+            p = seen.setdefault(wording.tobytes(), len(fans))
+            if p == len(fans):
+                fans.append([])
+                latent.append(vector)
+                wordings.append(wording)
+            fans[p].append((at, start))
+    lengths = np.array([len(x) for x in wordings], np.int64)
+    table = np.full((len(lengths), int(lengths.max(initial=0))), -1, np.int32)
+    for row, wording in zip(table, wordings):
+        row[: len(wording)] = wording
+    flat = np.array([x for fan in fans for x in fan], np.int64).reshape(-1, 2)
+    return Model(
+        np.array([r.item_id for r in block], np.int64), codes,
+        [tuple(np.frombuffer(r.answer, np.int32).tolist()) or None for r in block],
+        idf, embedding, np.array(latent, np.float32).reshape(len(latent), embedding.shape[1]), table, lengths,
+        np.concatenate([[0], np.cumsum([len(f) for f in fans])]).astype(np.int64), flat[:, 0], flat[:, 1],
+    )
 
 
 def lcs_share(passage: np.ndarray, window: np.ndarray) -> float:
@@ -291,11 +332,46 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-#: Words looked at together, and hits whose words are compared together; they bound the memory of a search task.
+def common_runs(windows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest common run of every window with the words beside it: its length and where it ends in either.
+
+    Numbers up to 0 equal nothing.
+    """
+    n, width = others.shape
+    rows = np.arange(n)
+    run = np.zeros((n, width + 1), np.int16)
+    best, end_w, end_o = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i, word in enumerate(windows.T):
+        same = (others == word[:, None]) & (word > 0)[:, None]
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        top = run.argmax(axis=1)
+        length = run[rows, top]
+        longer = length > best
+        best, end_w, end_o = np.where(longer, length, best), np.where(longer, i + 1, end_w), np.where(longer, top, end_o)
+    return best, end_w, end_o
+
+
+def _norms(windows: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Lengths of the windows' TF-IDF vectors over all words, those that no item has included, each as a word of its own."""
+    order = np.sort(windows, axis=1)
+    weight = np.where(order == _NONE, 0, idf[np.maximum(order, 0)]) ** 2
+    total = weight.sum(axis=1)
+    # a word that stands n times counts n² times: the pairs of its places come on top
+    for gap in range(1, order.shape[1]):
+        same = (order[:, gap:] == order[:, :-gap]) & (order[:, gap:] > 0)
+        if not same.any():
+            break
+        total += 2 * (weight[:, gap:] * same).sum(axis=1)
+    return np.sqrt(total)
+
+
+#: Fills up where a document has no more words.
+_NONE = -1
+#: Words looked at together, and candidates whose words are compared together; they bound the memory of a search task.
 _FLAT, _HITS = 1 << 17, 1 << 14
 
 
-def _searcher(shared, leak: Leak, paraphrases: bool):
+def _searcher(shared, leak: Leak, paraphrases: bool, rejected: bool):
     schema = arrow_schema(HITS)
     half = leak.run  # windows of two halves; any run of so many words lies in one of them whole
 
@@ -311,67 +387,87 @@ def _searcher(shared, leak: Leak, paraphrases: bool):
         if ids:
             yield ids, codes
 
+    def retrieve(model: Model, halves: np.ndarray, after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows, passages and cosines of the candidates."""
+        sums = np.zeros((len(halves) - 1, model.embedding.shape[1]), np.float32)
+        at = np.flatnonzero((halves[:-1] > 0).any(axis=1))
+        sums[at] = model.embedding[np.maximum(halves[at], 0)].sum(axis=1)
+        window = sums.copy()
+        joined = np.flatnonzero(after < len(sums))
+        window[joined] += sums[joined + 1]
+        live = np.flatnonzero((window != 0).any(axis=1))
+        norms = _norms(np.concatenate([halves[live], halves[after[live]]], axis=1), model.idf)
+        step = max(1, (1 << 22) // len(model.passages))
+        for s in range(0, len(live), step):
+            part = live[s : s + step]
+            cosines = (window[part] / norms[s : s + step, None]) @ model.passages.T
+            w, p = np.nonzero(cosines >= leak.min_cosine)
+            near = cosines[w, p]
+            for h in range(0, len(w), _HITS):
+                yield part[w[h : h + _HITS]], p[h : h + _HITS], near[h : h + _HITS]
+
+    def stretch(own: np.ndarray, i: int, other: np.ndarray, j: int, length: int) -> int:
+        """A common run that ends before ``own[i]`` and ``other[j]``, with what goes on beyond its window."""
+        a, b = i - length, j - length
+        while a > 0 and b > 0 and own[a - 1] == other[b - 1]:
+            a, b = a - 1, b - 1
+        while i < len(own) and j < len(other) and own[i] == other[j]:
+            i, j = i + 1, j + 1
+        return i - a
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        fans, n_items = np.diff(model.fan_starts), len(model.items.ids)
-        lengths = np.array([len(x) for x in model.wordings], np.int64)
-        wordings = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int32)
-        for p, wording in enumerate(model.wordings):
-            wordings[p, : len(wording)] = wording
+        n_items = len(model.ids)
+        around = 2 * leak.run + leak.passage
         for batch in batches:
             out: list[tuple] = []
             for ids, codes in groups(batch) if len(model.passages) else ():
                 # halves of `half` words, each document padded to whole halves
                 sizes = np.array([max(1, -(-len(c) // half)) for c in codes])
-                flat = np.zeros(int(sizes.sum()) * half, np.int32)
+                flat = np.full(int(sizes.sum()) * half, _NONE, np.int32)
                 starts = np.concatenate([[0], np.cumsum(sizes)])
                 for c, s in zip(codes, starts):
                     flat[s * half : s * half + len(c)] = c
                 owner = np.repeat(np.arange(len(ids)), sizes)
-                known = (flat.reshape(-1, half) > 0).any(axis=1)
-                sums = np.zeros((len(owner), model.embedding.shape[1]), np.float32)
-                at = np.flatnonzero(known)
-                sums[at] = model.embedding[flat.reshape(-1, half)[at]].sum(axis=1)
-                window = sums.copy()
                 joined = np.flatnonzero(owner[:-1] == owner[1:])
-                window[joined] += sums[joined + 1]
-                norms = np.sqrt((window**2).sum(axis=1))
-                live = np.flatnonzero(norms > 0)
-                near: list[np.ndarray] = []  # document * items + item of every candidate
-                best: dict[tuple[int, int], float] = {}  # greatest share of a passage in a window, of all hits
-                halves = np.concatenate([flat.reshape(-1, half), np.zeros((1, half), np.int32)])
+                halves = np.concatenate([flat.reshape(-1, half), np.full((1, half), _NONE, np.int32)])
                 after = np.full(len(owner), len(owner))  # the half that follows; none at a document's end
                 after[joined] = joined + 1
-                step = max(1, (1 << 22) // len(model.passages))
-                for s in range(0, len(live), step):
-                    part = live[s : s + step]
-                    cosines = (window[part] / norms[part][:, None]) @ model.passages.T
-                    w, p = np.nonzero(cosines >= leak.min_cosine)
-                    docs = owner[part[w]]
-                    near.append(np.unique(np.repeat(docs, fans[p]) * n_items + model.fan_items[_spans(model.fan_starts[p], fans[p])]))
-                    if paraphrases:
-                        hits = np.flatnonzero(cosines[w, p] >= leak.paraphrase_cosine)
-                        for h in range(0, len(hits), _HITS):
-                            hw, hp = part[w[hits[h : h + _HITS]]], p[hits[h : h + _HITS]]
-                            shares = lcs_lengths(wordings[hp], np.concatenate([halves[hw], halves[after[hw]]], axis=1)) / lengths[hp]
-                            for i in np.flatnonzero(shares >= leak.min_lcs).tolist():
-                                for item in model.fan_items[model.fan_starts[hp[i]] : model.fan_starts[hp[i] + 1]].tolist():
-                                    key = int(owner[hw[i]]), item
-                                    best[key] = max(best.get(key, 0.0), float(shares[i]))
-                candidates = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
                 runs: dict[tuple[int, int], int] = {}
-                for place, item, length in _verbatim(flat, model, leak.run):
-                    doc = int(owner[place // half])
-                    at = int(np.searchsorted(candidates, doc * n_items + item))
-                    if at < len(candidates) and candidates[at] == doc * n_items + item:
-                        runs[doc, item] = max(runs.get((doc, item), 0), length)
-                for (doc, item), length in runs.items():
-                    out.append((ids[doc], int(model.items.ids[item]), length, None, None))
-                for (doc, item), share in best.items():
-                    if (doc, item) not in runs:
-                        answer = model.items.answers[item]
-                        said = None if answer is None else _contains(codes[doc], answer)
-                        out.append((ids[doc], int(model.items.ids[item]), 0, share, said))
+                parts: dict[tuple[int, int], float] = {}  # greatest share of a passage in a window
+                nearest: dict[tuple[int, int], float] = {}
+                for w, p, cosine in retrieve(model, halves, after):
+                    windows = np.concatenate([halves[w], halves[after[w]]], axis=1)
+                    common = lcs_lengths(model.wordings[p], windows)
+                    if rejected:
+                        _keep_greatest(nearest, owner[w], p, cosine, model)
+                    if paraphrases:
+                        share = common / model.lengths[p]
+                        near = np.flatnonzero((cosine >= leak.paraphrase_cosine) & (share >= leak.min_lcs))
+                        _keep_greatest(parts, owner[w[near]], p[near], share[near], model)
+                    hold = np.flatnonzero(common >= np.minimum(leak.overlap, model.lengths[p]))
+                    if len(hold) == 0:
+                        continue
+                    # each occurrence of the passage, with the words around it
+                    fans = np.diff(model.fan_starts)[p[hold]]
+                    at = _spans(model.fan_starts[p[hold]], fans)
+                    hold = np.repeat(hold, fans)
+                    item, begin = model.fan_items[at], np.maximum(0, model.fan_places[at] - leak.run)
+                    region = np.zeros((len(at), around), np.int32)
+                    for row, i, b in zip(region, item, begin):
+                        piece = model.codes[i][b : b + around]
+                        row[: len(piece)] = piece
+                    length, end_w, end_r = common_runs(windows[hold], region)
+                    for x in np.flatnonzero(length >= leak.run).tolist():
+                        doc, i = int(owner[w[hold[x]]]), int(item[x])
+                        place = int((w[hold[x]] - starts[doc]) * half + end_w[x])
+                        whole = stretch(codes[doc], place, model.codes[i], int(begin[x] + end_r[x]), int(length[x]))
+                        runs[doc, i] = max(runs.get((doc, i), 0), whole)
+                for doc, item in runs.keys() | parts.keys() | nearest.keys():
+                    run, share = runs.get((doc, item), 0), parts.get((doc, item))
+                    answer = model.answers[item]
+                    said = None if answer is None or not paraphrases else _contains(codes[doc], answer)
+                    out.append((ids[doc], int(model.ids[item]), nearest.get((doc, item)), run, share, said))
             if out:
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -379,44 +475,71 @@ def _searcher(shared, leak: Leak, paraphrases: bool):
     return search
 
 
+def _keep_greatest(best: dict[tuple[int, int], float], docs: np.ndarray, p: np.ndarray, value: np.ndarray, model: Model) -> None:
+    """The greatest value of every document and item of these passages."""
+    fans = np.diff(model.fan_starts)[p]
+    key = np.repeat(docs, fans) * len(model.ids) + model.fan_items[_spans(model.fan_starts[p], fans)]
+    value = np.repeat(value, fans)
+    order = np.lexsort((-value, key))
+    key, value = key[order], value[order]
+    for k, v in zip(*(x[np.flatnonzero(np.diff(key, prepend=-1))] for x in (key, value))):
+        pair = divmod(int(k), len(model.ids))
+        best[pair] = max(best.get(pair, 0.0), float(v))
+
+
 def find_leaks(
     documents: DataFrame, items: DataFrame, leak: Leak | None = None, paraphrases: bool = False,
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str = "answer",
+    rejected: bool = False,
 ) -> DataFrame:
-    """doc_id, item_id, run, lcs, answered of every document that gives an item away.
-
-    ``run`` is the longest common run of words where it has at least ``leak.run`` words; else 0, and with
-    ``paraphrases`` the row says what share of an item's passage is a subsequence of the document's window and
-    whether the answer (null: the item has none) occurs in the document. Documents without id or text and items
-    without id or with fewer than ``leak.run`` words match nothing. A document or item given twice is one.
+    """doc_id, item_id, cosine, run, lcs, answered of every document that gives an item away.
+
+    ``run`` is the longest common run of words where it has at least ``leak.run`` words; else 0. With
+    ``paraphrases`` ``lcs`` says what share of an item's passage is a subsequence of the document's window and
+    ``answered`` whether the answer (null: the item has none) occurs in the document. With ``rejected`` every
+    document and item that was retrieved has a row, its greatest ``cosine``, and run 0 where the checks failed.
+    Documents without id or text and items without id or with fewer than ``leak.run`` words match nothing. A
+    document or item given twice is one.
     """
     leak = leak or Leak()
     spark = documents.sparkSession
     sc = spark.sparkContext
-    own = items.select(item_id, item_text, answer).where(F.col(item_id).isNotNull()).distinct()
-    parts = []
-    block: list[tuple] = []
-
-    def work(rows: list[tuple]) -> None:
-        numbered = number_items(rows)
-        coder = sc.broadcast(numbered)
-        coded = spool(documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_coder(coder), CODED))
-        df, docs = np.zeros(len(numbered.vocabulary) + 1, np.int64), 0
-        for r in coded.where("df is not null").select("df", "docs").toLocalIterator():  # one row per input split
-            df, docs = df + np.frombuffer(r.df, np.int64), docs + r.docs
-        model = sc.broadcast(build_model(spark, numbered, df, docs, leak))
-        parts.append(coded.where("codes is not null").select("doc_id", "codes").mapInArrow(_searcher(model, leak, paraphrases), HITS))
-
-    for r in own.orderBy(item_id).toLocalIterator():
-        block.append(tuple(r))
+    own = items.select(F.col(item_id).cast("long"), F.col(item_text), F.col(answer)).where(F.col(item_id).isNotNull()).distinct()
+    names = own.select(F.col(item_text).alias("a"), F.col(answer).alias("b")).mapInArrow(_item_words, "word string").distinct()
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(names.toArrow().column(0).to_pylist()))}
+    shared = sc.broadcast(vocabulary)
+    numbered = spool(own.mapInArrow(_numberer(shared), ITEMS))
+    coded = spool(documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_coder(shared), CODED))
+    counts = coded.where("df is not null").select("docs", "df")
+    docs = counts.agg(F.sum("docs")).first()[0] or 0
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    summed = counts.select(F.inline("df")).groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # a row per word at most
+    df[np.asarray(summed.column(0))] = np.asarray(summed.column(1))
+    idf = np.log((docs + 1) / (df + 1)) + 1
+    idf[0] = np.median(idf[1:]) if len(vocabulary) else 1.0  # any other word weighs as much as one of the items' does
+    weights = sc.broadcast(idf)
+    matrix = numbered.select("codes").mapInArrow(_passage_rows(weights, leak), "words array<int>, weights array<float>")
+    basis = randomised_svd(matrix, len(idf), leak)
+    embedding = (idf[:, None] * basis).astype(np.float32)
+    embedding[0] = 0
+    projected = spool(numbered.mapInArrow(_projector(sc.broadcast((idf, basis)), leak), PASSAGES))
+    corpus = coded.where("codes is not null").select("doc_id", "codes")
+    parts, block = [], []
+
+    def search() -> None:
+        model = sc.broadcast(build_model(block, idf, embedding, leak))
+        parts.append(corpus.mapInArrow(_searcher(model, leak, paraphrases, rejected), HITS))
+
+    for row in projected.where(F.size("starts") > 0).toLocalIterator():
+        block.append(row)
         if len(block) == leak.item_block:
-            work(block)
+            search()
             block = []
     if block:
-        work(block)
+        search()
     if not parts:
         return spark.createDataFrame([], HITS)
     hits = reduce(DataFrame.unionByName, parts)
     return hits.groupBy("doc_id", "item_id").agg(
-        F.max("run").alias("run"), F.max("lcs").alias("lcs"), F.bool_or("answered").alias("answered")
+        F.max("cosine").alias("cosine"), F.max("run").alias("run"), F.max("lcs").alias("lcs"), F.bool_or("answered").alias("answered")
     )

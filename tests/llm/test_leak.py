@@ -108,3 +108,48 @@ def test_lcs_together():
     passages, windows = rng.integers(0, 5, (200, 12)).astype(np.int32), rng.integers(0, 5, (200, 24)).astype(np.int32)
     got = leak.lcs_lengths(passages, windows) / 12
     assert np.allclose(got, [lcs_share(p, w) for p, w in zip(passages, windows)])
+
+
+def test_rows_come_from_the_retrieval(spark):
+    """Every true case is retrieved; without retrieval there are none; most of what is not a case is not retrieved."""
+    docs, items = corpus()
+    df, it = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    want = brute(docs, items, 12)
+    hits = leak.find_leaks(df, it, rejected=True).collect()
+    retrieved = {(r.doc_id, r.item_id) for r in hits}
+    assert len(retrieved & want) >= 0.9 * len(want) and all(r.cosine >= leak.Leak().min_cosine for r in hits)
+    assert {(r.doc_id, r.item_id) for r in hits if r.run > 0} == want & retrieved
+    assert leak.find_leaks(df, it, leak.Leak(min_cosine=1.01)).count() == 0
+    fewer = leak.find_leaks(df, it, leak.Leak(min_cosine=0.8)).where("run > 0").count()
+    assert fewer < len(want)
+
+
+def test_common_runs():
+    rng = np.random.default_rng(4)
+    windows, others = rng.integers(0, 4, (300, 24)).astype(np.int32), rng.integers(0, 4, (300, 36)).astype(np.int32)
+    best, end_w, end_o = leak.common_runs(windows, others)
+    for w, o, n, i, j in zip(windows, others, best, end_w, end_o):
+        longest = 0
+        for a in range(24):
+            for b in range(36):
+                k = 0
+                while a + k < 24 and b + k < 36 and w[a + k] == o[b + k] > 0:
+                    k += 1
+                longest = max(longest, k)
+        assert n == longest and (w[i - n : i] == o[j - n : j]).all()
+
+
+def test_window_norms_are_those_of_tfidf():
+    rng = np.random.default_rng(5)
+    windows, idf = rng.integers(-1, 6, (100, 24)).astype(np.int32), rng.uniform(1, 3, 6)
+    for window, norm in zip(windows, leak._norms(windows, idf)):
+        known = [(window == w).sum() * idf[w] for w in range(1, 6)]
+        other = [idf[0]] * int((window == 0).sum())  # each a word of its own
+        assert np.isclose(norm, np.sqrt(sum(x * x for x in known + other)))
+
+
+def test_whole_run_of_a_long_copy(spark):
+    item = " ".join(f"q{i}" for i in range(70))
+    docs = [(1, "Subject: z\n\nso " + item.upper() + " it ends", "x"), (2, "Subject: z\n\n" + "lorem " * 5000 + item[:60], "x")]
+    hits = leak.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(5, item, None, "s")], ITEMS)).collect()
+    assert {(r.doc_id, r.item_id, r.run) for r in hits} == {(1, 5, 70), (2, 5, 17)}
