@@ -397,6 +397,9 @@ def _searcher(shared, leak: Leak, paraphrases: bool, rejected: bool):
         window[joined] += sums[joined + 1]
         live = np.flatnonzero((window != 0).any(axis=1))
         norms = _norms(np.concatenate([halves[live], halves[after[live]]], axis=1), model.idf)
+        # no passage, of length 1, can be nearer to a window than the length of its latent vector says
+        able = np.sqrt((window[live] ** 2).sum(axis=1)) >= norms * (leak.min_cosine - 1e-4)
+        live, norms = live[able], norms[able]
         step = max(1, (1 << 22) // len(model.passages))
         for s in range(0, len(live), step):
             part = live[s : s + step]
