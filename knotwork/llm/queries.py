@@ -15,7 +15,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("nodes", "nodes_embedding", "vector_node"),
         ("relations", "relations_embedding", "vector_relations"),
     ):
-        found = neighbours.neighbours(table(spark, sf_dir, name), "embed_id", vec)
+        found = neighbours.neighbours(table(spark, sf_dir, name), "embed_id", vec, neighbours.Search(min_cos=0.8))
         parts.append(
             neighbours.similar_pairs(found).select(
                 F.lit(collection).alias("collection"), F.col("a").alias("embed_id_a"), F.col("b").alias("embed_id_b")

@@ -44,7 +44,7 @@ def cloud(n, seed=0):
     return [(i, [float(v) for v in x[i] * rng.uniform(0.5, 2)], 1, "x") for i in range(n)]
 
 
-SMALL = Search(k=5, dims=8, list_rows=16, cell_rows=40, epsilon=6.0)
+SMALL = Search(k=5, min_cos=0.8, dims=8, list_rows=16, cell_rows=40, epsilon=6.0)
 
 
 def test_exact_where_all_lists_are_probed(spark):
@@ -94,3 +94,51 @@ def test_salted_list(spark):
     rows = cloud(300, 9)
     got, _ = run(spark, rows, replace(SMALL, probes=64, list_rows=400, cell_rows=50))
     assert got == {o: v for o, v in brute(rows, 5, 0.8).items() if v}
+
+
+@pytest.mark.parametrize("kind", ["unstructured", "clustered"])
+def test_recall_of_default_parameters(spark, kind):
+    """The k nearest however far they are, with the number of probes that the calibration finds."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    x = rng.standard_normal((n, 64))
+    if kind == "clustered":  # the tenth neighbour's cosine is about 0.7
+        x = rng.standard_normal((n // 40, 64))[rng.integers(0, n // 40, n)] + 0.6 * x
+    x = x.astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]], 1, "x") for i in range(n)]
+    found = neighbours.neighbours(spark.createDataFrame(rows, SCHEMA), "embed_id", "v").toArrow()
+    unit = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -2)
+    want = np.argsort(-cos, axis=1)[:, :10]
+    have = set(zip(found["owner"].to_pylist(), found["other"].to_pylist()))
+    assert len(found) == 10 * n
+    assert sum((i, int(j)) in have for i in range(n) for j in want[i]) >= 0.95 * 10 * n
+
+
+def test_pairs_are_abandoned_by_the_kth_best():
+    """Of a query's pairs only those survive the blocks that can be nearer than what it has."""
+    rng = np.random.default_rng(2)
+    y = rng.standard_normal((400, 64)).astype(np.float32)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    q = y[:50] + 0.05 * rng.standard_normal((50, 64)).astype(np.float32)
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    dist = ((q[:, None, :] - y[None]) ** 2).sum(axis=2)
+    kth = np.sort(dist, axis=1)[:, 4]
+    none = np.full(50, -1)
+    i, j = neighbours._survivors(q, y, none, kth, 5, [(0, 16), (16, 32), (32, 64)], 2.1)
+    kept = set(zip(i.tolist(), j.tolist()))
+    want = [(a, b) for a in range(50) for b in np.argsort(dist[a])[:5]]
+    assert sum(p in kept for p in want) >= 0.97 * len(want) and len(kept) < 2 * len(want)
+    i, j = neighbours._survivors(q, y, none, np.full(50, np.inf), 5, [(0, 16), (16, 32), (32, 64)], 2.1)
+    kept = set(zip(i.tolist(), j.tolist()))
+    assert sum(p in kept for p in want) >= 0.97 * len(want) and len(kept) < 0.5 * 50 * 400
+
+
+def test_equal_hashes_are_no_equal_vectors(spark, monkeypatch):
+    rows = [(i, [1.0, float(i)] + [0.0] * 6, 0, "") for i in range(20)]
+    vectors = neighbours.valid_vectors(spark.createDataFrame(rows, SCHEMA), "embed_id", "v", 8)
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neighbours.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    assert neighbours._crowds(vectors, 5).count() == 0
