@@ -35,7 +35,7 @@ FOUND = "owner long, other long, cos double"
 ROUTED = "cell int, query boolean, id long, lists array<int>, vec array<float>"
 SAMPLE = "top int, vec array<float>"
 LISTS = "top int, centroids binary, held binary"
-TRUTH = "owner int, other long, cos double, list int"
+TRUTH = "owner int, other long, cos double, list int, vec binary"
 #: Pairs whose first block is computed in one matrix product.
 TILE = 1 << 22
 #: Partitions of the scan at most; beyond, a task takes several cells, one after the other.
@@ -54,7 +54,7 @@ class Search:
     min_cos: float | None = None
     dims: int = 64
     probes: int | None = None
-    recall: float = 0.985
+    recall: float = 0.99
     calibrate: int = 256
     list_rows: int = 128
     max_lists: int = 1 << 20
@@ -208,6 +208,7 @@ def _truth(shared, search: Search):
         index, q_ids, q = shared.value
         k = search.k
         cos, ids, lists = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64), np.full((len(q), k), -1, np.int64)
+        vecs = np.zeros((len(q), k, search.dims), np.float32)
         for batch in batches:
             for piece in (batch.slice(s, 4096) for s in range(0, len(batch), 4096)):
                 own = np.asarray(piece.column(0))
@@ -231,34 +232,50 @@ def _truth(shared, search: Search):
                 cos = np.take_along_axis(both, best, 1)
                 ids = np.take_along_axis(np.concatenate([ids, own[keep]], axis=1), best, 1)
                 lists = np.take_along_axis(np.concatenate([lists, home[keep]], axis=1), best, 1)
+                vecs = np.take_along_axis(np.concatenate([vecs, x[keep]], axis=1), best[:, :, None], 1)
         row, place = np.nonzero((ids >= 0) & (lists >= 0) & (cos >= (-2 if search.min_cos is None else search.min_cos)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(row.astype(np.int32)), pa.array(ids[row, place]), pa.array(cos[row, place]), pa.array(lists[row, place].astype(np.int32))],
-            names=["owner", "other", "cos", "list"],
+            [
+                pa.array(row.astype(np.int32)), pa.array(ids[row, place]), pa.array(cos[row, place]), pa.array(lists[row, place].astype(np.int32)),
+                pa.array([v.tobytes() for v in vecs[row, place]], pa.binary()),
+            ],
+            names=["owner", "other", "cos", "list", "vec"],
         )
 
     return scan
 
 
 def _calibrated(vectors: DataFrame, index: Index, q_ids: np.ndarray, q: np.ndarray, search: Search) -> Index:
-    """The index with as many probes as the neighbours of the queries need, by the ranks of the lists they are in."""
+    """The index with as many probes as the neighbours of the queries need.
+
+    A query and a neighbour meet if either looks into the list that the other is in, so the lower of both ranks counts.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast((index, q_ids, q))
     found = vectors.select("id", "vec").mapInArrow(_truth(shared, search), TRUTH)
-    once = found.groupBy("owner", "other").agg(F.max("cos").alias("cos"), F.min("list").alias("list"))
+    once = found.groupBy("owner", "other").agg(F.max_by(F.struct("cos", "list", "vec"), "cos").alias("r")).select("owner", "other", "r.*")
     w = Window.partitionBy("owner").orderBy(F.col("cos").desc(), "other")
-    truth = once.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= search.k).select("owner", "list").toArrow()
+    truth = once.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= search.k).select("owner", "list", "vec").toArrow()
     owner, home = np.asarray(truth.column(0)), np.asarray(truth.column(1))
     if len(owner) == 0:
-        return replace(index, probes=1, groups=min(index.groups, len(index.tops)))
+        return replace(index, probes=1, groups=1)
+    near = np.frombuffer(b"".join(truth.column(2).to_pylist()), np.float32).reshape(len(owner), -1)
     group_of = np.searchsorted(index.fans, np.arange(len(index.centroids)), "right") - 1
-    ranks, group_ranks = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
-    for name in np.unique(owner).tolist():
-        at = np.flatnonzero(owner == name)
-        scores, tops = index.centroids @ q[name], index.tops @ q[name]
-        ranks[at] = (scores[None, :] > scores[home[at]][:, None]).sum(axis=1)
-        group_ranks[at] = (tops[None, :] > tops[group_of[home[at]]][:, None]).sum(axis=1)
-    probes = 1 + int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(search.recall * len(ranks))) - 1)])
-    groups = 1 + int(np.sort(group_ranks)[min(len(ranks) - 1, int(np.ceil((1 + search.recall) / 2 * len(ranks))) - 1)])
+
+    def ranks(x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many lists, and how many groups, are nearer to each row than the list named."""
+        out = []
+        for centroids, named in ((index.centroids, lists), (index.tops, group_of[lists])):
+            step = max(1, TILE // len(centroids))
+            pieces = [(x[i : i + step] @ centroids.T, named[i : i + step]) for i in range(0, len(x), step)]
+            out.append(np.concatenate([(c > c[np.arange(len(c)), n][:, None]).sum(axis=1) for c, n in pieces]))
+        return out[0], out[1]
+
+    own = _nearest_lists(index, q, 1, index.groups)[0][:, 0]
+    there, back = ranks(q[owner], home), ranks(near, own[owner])
+    rank = np.minimum(there[0], back[0])
+    group = np.where(there[0] <= back[0], there[1], back[1])
+    probes = 1 + int(np.quantile(rank, search.recall, method="higher"))
+    groups = 1 + int(np.quantile(group, (1 + search.recall) / 2, method="higher"))
     return replace(index, probes=probes, groups=groups)
 
 
@@ -364,13 +381,14 @@ def _best(owner: np.ndarray, other: np.ndarray, cos: np.ndarray, k: int) -> np.n
 
 
 def _survivors(
-    q: np.ndarray, y: np.ndarray, own: np.ndarray, wanted: np.ndarray, k: int, blocks: list[tuple[int, int]], epsilon: float
-) -> tuple[np.ndarray, np.ndarray]:
+    q: np.ndarray, y: np.ndarray, own: np.ndarray, wanted: np.ndarray, k: int, blocks: list[tuple[int, int]], epsilon: float,
+    other: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rotated rows that no test abandons.
 
     ``wanted`` is each query's k-th best squared distance so far, ``own`` its place among ``y`` (or -1). A query that
     has none yet gets one here: the k rows nearest in the first block are computed in full, and the farthest of them
-    bounds the k-th best.
+    bounds the k-th best. ``other`` is the same of the rows of ``y``, for which a pair stays as well.
     """
     dims = y.shape[1]
     a, b = blocks[0]
@@ -385,15 +403,17 @@ def _survivors(
         whole[np.isinf(np.take_along_axis(partial[fresh], near, 1))] = np.inf
         wanted = wanted.copy()
         wanted[fresh] = whole.max(axis=1)
-    most = lambda end: wanted * (1 + epsilon / np.sqrt(end)) ** 2 * end / dims + 1e-4 if end < dims else wanted + 1e-4
-    i, j = np.nonzero((partial <= most(b)[:, None]) & (partial < np.inf))
+    grow = lambda end: (1 + epsilon / np.sqrt(end)) ** 2 * end / dims if end < dims else 1.0
+    limit = wanted[:, None] if other is None else np.maximum(wanted[:, None], other[None, :])
+    i, j = np.nonzero((partial <= limit * grow(b) + 1e-4) & (partial < np.inf))
+    limit = wanted[i] if other is None else np.maximum(wanted[i], other[j])
     so_far = partial[i, j]
     for a, b in blocks[1:]:
         if len(i) == 0:
             break
         so_far = so_far + ((q[i, a:b] - y[j, a:b]) ** 2).sum(axis=1)
-        keep = so_far <= most(b)[i]
-        i, j, so_far = i[keep], j[keep], so_far[keep]
+        keep = so_far <= limit * grow(b) + 1e-4
+        i, j, so_far, limit = i[keep], j[keep], so_far[keep], limit[keep]
     return i, j
 
 
@@ -421,11 +441,12 @@ def _scanner(shared, search: Search):
         ids = vecs = norms = rotated = None
         where: dict[int, np.ndarray] = {}
         several = 1  # vectors of one id in the cell, at most
+        bounds: np.ndarray | None = None  # k-th best of the cell's own rows, once they have looked
 
         def settle() -> Iterator[pa.RecordBatch]:
             """Make what was gathered of the cell searchable, by list; then it looks into the cell itself."""
-            nonlocal ids, vecs, norms, rotated, where, pending, several
-            gathered, pending, where = pending, [], {}
+            nonlocal ids, vecs, norms, rotated, where, pending, several, bounds
+            gathered, pending, where, bounds = pending, [], {}, None
             if not gathered:
                 ids = np.zeros(0, np.int64)
                 return
@@ -444,10 +465,12 @@ def _scanner(shared, search: Search):
             order = np.argsort(lists, kind="stable")
             names, starts = np.unique(lists[order], return_index=True)
             where = {name: at[np.argsort(ids[at], kind="stable")] for name, at in zip(names.tolist(), np.split(order, starts[1:]))}
-            for piece in gathered:
-                yield from look(*piece)
+            mine = [np.concatenate(x) for x in zip(*gathered)]
+            yield from look(*mine, once)
 
-        def look(q_ids, q_lists, q_sizes, q_vecs) -> Iterator[pa.RecordBatch]:
+        def look(q_ids, q_lists, q_sizes, q_vecs, once=None) -> Iterator[pa.RecordBatch]:
+            """``once``: these are the cell's own rows, and where among them its searchable ones stand."""
+            nonlocal bounds
             q_rot = _unit(q_vecs) @ rotation
             q_norm = np.sqrt((q_vecs.astype(np.float64) ** 2).sum(axis=1))
             row = np.repeat(np.arange(len(q_ids)), q_sizes)
@@ -460,6 +483,7 @@ def _scanner(shared, search: Search):
                 order = now[np.argsort(q_lists[now], kind="stable")]
                 names, starts = np.unique(q_lists[order], return_index=True)
                 hits_q, hits_y = [], []
+                theirs = bounds if once is None or first == 0 else wanted[once]
                 for name, mine in zip(names.tolist(), np.split(row[order], starts[1:])):
                     at = where.get(name)
                     if at is None:
@@ -472,7 +496,7 @@ def _scanner(shared, search: Search):
                         own = np.where(y_ids[place] == q_ids[part], place, -1)
                         # several vectors of one id: their first places say nothing of the k-th best id
                         bound = wanted[part] if several == 1 else np.full(len(part), np.nextafter(4.0, 5) if farthest == np.inf else farthest)
-                        i, j = _survivors(q_rot[part], y, own, bound, k, blocks, search.epsilon)
+                        i, j = _survivors(q_rot[part], y, own, bound, k, blocks, search.epsilon, None if theirs is None or several > 1 else theirs[at])
                         if len(i):
                             hits_q.append(part[i])
                             hits_y.append(at[j])
@@ -501,6 +525,8 @@ def _scanner(shared, search: Search):
                 better[line, place[place < k]] = cos[top]
                 kept[touched] = -np.sort(-np.concatenate([kept[touched], better], axis=1), axis=1)[:, :k]
                 wanted[touched] = np.minimum(farthest, 2 - 2 * kept[touched, k - 1])
+            if once is not None:
+                bounds = wanted[once]
             if not found:
                 return
             i, j, cos = (np.concatenate(x) for x in zip(*found))
