@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.arrow import arrow_schema
-from knotwork.session import cut
+from knotwork.session import cut, spool
 
 FOUND = "owner long, other long, cos double"
 ROUTED = "cell int, query boolean, id long, lists array<int>, vec array<float>"
@@ -40,6 +40,8 @@ TRUTH = "owner int, other long, cos double, list int, vec binary"
 TILE = 1 << 22
 #: Partitions of the scan at most; beyond, a task takes several cells, one after the other.
 MAX_TASKS = 1 << 16
+#: Groups of equal vectors that are broadcast at most, 256 bytes each at 64 dimensions.
+SMALL_GROUPS = 100_000
 
 
 @dataclass(frozen=True)
@@ -620,8 +622,11 @@ def neighbours(rows: DataFrame, key: str, vec: str, search: Search | None = None
     groups = _crowds(vectors, search.k)
     searched = vectors
     if groups is not None:
-        tagged = vectors.join(groups, "vec", "left")
+        few = groups.count() <= SMALL_GROUPS
+        tagged = vectors.join(F.broadcast(groups) if few else groups, "vec", "left")
         searched = tagged.where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("id", "vec")
+        if not few:  # so that it is shuffled once
+            searched = spool(searched)
     index = train(searched, search)
     if index is None:
         return spark.createDataFrame([], FOUND)
