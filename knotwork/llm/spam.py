@@ -1,27 +1,28 @@
 """Pages of keywords, links or product tags instead of sentences.
 
-A mail's own text (no quotes, forwards, signature, disclaimer) is cut into spans at sentence ends and blank lines.
-Spans that end like a sentence and have a sentence's length are prose; the maximal runs of other spans are the
-blocks in question. A block is spam if it is redundant beyond what its length and language explain - its
-compression ratio lies far below that of the corpus' prose of that length and language - and has hardly any
-sentence punctuation. A mail is a case if more than half of its own words stand in such blocks.
-
-The expected ratios come from the prose of all documents, by language and length class, in one aggregation between
-the two steps; its result has at most languages x length classes rows. A class with too little prose takes longer
-prose cut to its size; a block longer than the prose is cut to the greatest size that prose does fill, and judged by
-the ratio of its pieces, so that like is compared with like at every length.
+A mail's own text (no quotes, forwards, signature, disclaimer) is cut into blocks of about ``block`` bytes, without
+regard to what is in them. A block is compressed against the rest of the mail's own text, so that what is said over
+and over shows wherever it stands. Its ratio is measured by that expected of prose for the length of block and text
+and the language. A block far below it is redundant to the extreme; it is spam if it also has hardly any sentence
+ends, which tells notices that repeat whole sentences from strings of words. A mail is a case if more than half of its own words stand
+in such blocks.
+
+The expectation comes from the blocks with sentence ends of all documents: their median ratios by language and length
+class, at most languages x classes rows, are aggregated in the cluster, and a power law of the two lengths, with a
+factor per language that leans to 1 where there is little prose, is fitted to them. Beyond the lengths that prose
+has, what holds for the longest of it is expected.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.arrow import arrow_schema
@@ -54,7 +55,6 @@ _SENT_FROM = re.compile(r"^\s*(?:sent from|von unterwegs gesendet|gesendet von|e
 _BLOCKQUOTE = re.compile(r"<(/?)blockquote\b[^>]*>", re.I)
 
 _PARAGRAPH = re.compile(r"\n[ \t\r\xa0]*\n")
-_URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
 #: A sentence ends with a mark, closing quotes or brackets, and a gap.
 _END = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|\Z)")
 _WORD = re.compile(r"[^\W_]+")
@@ -66,27 +66,24 @@ _LEET = re.compile(r"\b(?=\w*\d)(?=\w*[a-z])[a-z0-9]+\b")
 # The digits that stand for letters.
 _LETTERS = str.maketrans("013457", "oieast")
 
-BLOCKS = (
-    "doc_id long, lang string, blocks array<struct<prose: boolean, words: int, ends: int, size: int, ratio: float, "
-    "cuts: array<struct<class: int, ratio: float>>>>"
-)
+BLOCKS = "doc_id long, lang string, blocks array<struct<words: int, ends: int, size: int, whole: int, ratio: float>>"
 
 
 @dataclass(frozen=True)
 class Spam:
-    """``longest`` words at most make a sentence; blocks under ``least`` words are judged by nothing.
+    """Blocks of about ``block`` bytes see ``context`` bytes on either side.
 
     A block is redundant if its ratio is at most ``below`` times that expected; it has hardly any punctuation with
-    fewer than ``ends`` sentence ends a word. ``share`` of a mail's own words in such blocks make it a case.
-    ``support`` blocks of prose make an expected ratio; in a small corpus a tenth of all its prose, five at least.
+    fewer than ``ends`` sentence ends a word, others are prose. ``share`` of a mail's own words in such blocks make
+    it a case. A language's factor counts fully against ``lean`` blocks of prose that say 1.
     """
 
-    longest: int = 45
-    least: int = 8
-    below: float = 0.86
-    ends: float = 0.025
+    block: int = 192
+    context: int = 16384
+    below: float = 0.75
+    ends: float = 0.04
     share: float = 0.5
-    support: int = 50
+    lean: int = 50
 
 
 def _without_blockquotes(markup: str) -> str:
@@ -144,65 +141,73 @@ def _plain_letters(text: str) -> str:
     return _APART.sub(lambda m: _MARKS.sub("", m[0]), text)
 
 
-def _spans(text: str) -> Iterator[tuple[str, bool]]:
-    """Spans and whether each ends as a sentence."""
-    for paragraph in _PARAGRAPH.split(text):
-        at = 0
-        for m in _END.finditer(paragraph):
-            yield paragraph[at : m.end()], True
-            at = m.end()
-        if paragraph[at:].strip():
-            yield paragraph[at:], False
-
-
-def _packed(raw: bytes) -> int:
-    return len(zlib.compress(raw, 6)) - 8  # without the stream's frame
+def _pieces(text: str, size: int) -> list[str]:
+    """Blocks of whole paragraphs of at least half of ``size`` characters; a long paragraph is cut between words."""
+    out: list[str] = []
+    held: list[str] = []
+    room = size
 
+    def close() -> None:
+        nonlocal held, room
+        if held:
+            out.append(" \n".join(held))
+        held, room = [], size
 
-def length_class(size: int) -> int:
-    """Two classes to a doubling."""
-    return math.floor(math.log2(max(1, size)) * 2)
+    for paragraph in _PARAGRAPH.split(text):
+        paragraph = " ".join(paragraph.split())
+        if not paragraph:
+            continue
+        if room <= size // 2:
+            close()
+        at = 0
+        while len(paragraph) - at > room + size // 2:
+            gap = paragraph.rfind(" ", at, at + max(1, room))
+            if gap <= at:
+                gap = paragraph.find(" ", at + max(0, room))
+            if gap < 0:
+                break  # one long word
+            held.append(paragraph[at:gap])
+            at = gap + 1
+            close()
+        held.append(paragraph[at:])
+        room -= len(paragraph) - at + 1
+    close()
+    if len(out) > 1 and len(out[-1]) < size // 2:
+        out[-2:] = [f"{out[-2]} {out[-1]}"]
+    return out
 
 
-def _cuts(raw: bytes, lowest: int, all_of_it: bool) -> list[dict]:
-    """The ratio of pieces of the middle size of each smaller class, greatest first: one piece from the middle, or
-    pieces that cover it all."""
-    out = []
-    for c in range(length_class(len(raw)) - 1, lowest - 1, -1):
-        size = int(2 ** ((c + 0.5) / 2))
-        room, n = len(raw) - size, -(-len(raw) // size)
-        starts = [room * i // (n - 1) for i in range(n)] if all_of_it else [room // 2]
-        out.append({"class": c, "ratio": sum(_packed(raw[s : s + size]) for s in starts) / (size * len(starts))})
-    return out
+def _packed(raw: bytes, rest: bytes) -> int:
+    """Compressed size of ``raw`` for one who knows ``rest``."""
+    if rest:
+        packer = zlib.compressobj(9, zlib.DEFLATED, -15, 9, zlib.Z_DEFAULT_STRATEGY, rest)
+    else:
+        packer = zlib.compressobj(9, zlib.DEFLATED, -15, 9)
+    return len(packer.compress(raw)) + len(packer.flush())
 
 
-def _block(text: str, prose: bool, words: int, ends: int, spam: Spam) -> dict:
-    folded = _LEET.sub(lambda m: m[0].translate(_LETTERS), " ".join(text.split()).lower())
-    raw = folded.encode("utf-8", "replace")
-    judged = not prose and words >= spam.least and ends < words * spam.ends
-    cuts = _cuts(raw, length_class(2 * spam.least - 1), judged) if prose or judged else []
-    return {"prose": prose, "words": words, "ends": ends, "size": len(raw), "ratio": _packed(raw) / max(1, len(raw)), "cuts": cuts}
+def _folded(text: str) -> bytes:
+    return _LEET.sub(lambda m: m[0].translate(_LETTERS), " ".join(text.split()).lower()).encode("utf-8", "replace")
 
 
 def blocks_of(parts: list[tuple[str, str]], spam: Spam) -> list[dict]:
-    """Runs of prose and of other spans, of all parts."""
+    """The blocks of all parts, with words, sentence ends, size, size of the text around and ratio."""
     out: list[dict] = []
     for kind, text in parts:
-        run: list[str] = []
-        state, words, ends = None, 0, 0
-        for span, ended in _spans(_plain_letters(own_text(kind, text))):
-            n = len(_WORD.findall(span))
-            if n == 0:
-                continue
-            prose = ended and n <= spam.longest and not (len(_URL.findall(span)) * 8 > n)
-            if prose != state and run:
-                out.append(_block("\n".join(run), state, words, ends, spam))
-                run, words, ends = [], 0, 0
-            state = prose
-            run.append(span)
-            words, ends = words + n, ends + ended
-        if run:
-            out.append(_block("\n".join(run), state, words, ends, spam))
+        pieces = _pieces(_plain_letters(own_text(kind, text)), spam.block)
+        folded = [_folded(x) for x in pieces]
+        whole = b" ".join(folded)
+        at = 0
+        for piece, raw in zip(pieces, folded):
+            end = at + len(raw)
+            words = len(_WORD.findall(piece))
+            if words:
+                rest = whole[end + 1 : end + 1 + spam.context] + whole[max(0, at - spam.context) : at]
+                out.append({
+                    "words": words, "ends": len(_END.findall(piece)), "size": len(raw), "whole": len(raw) + len(rest),
+                    "ratio": _packed(raw, rest) / max(1, len(raw)),
+                })
+            at = end + 1
     return out
 
 
@@ -220,30 +225,62 @@ def _scanner(spam: Spam):
     return scan
 
 
-def _expected(prose: DataFrame, langs: DataFrame, spam: Spam) -> DataFrame:
-    """lang, usual: of every language the median ratio of prose by length class, where there is enough of it.
+@dataclass(frozen=True)
+class Expected:
+    """Ratio of prose: exp(level + block * ln size + text * ln whole) times the language's factor.
 
-    A class takes the prose of its size in the language, else in all languages, else longer prose cut to its size.
+    Lengths beyond those of prose, ``sizes`` and ``wholes``, are taken as the nearest of these: no extrapolation.
     """
-    whole = prose.select("lang", "class", "ratio", F.lit(True).alias("whole"))
-    cut = prose.select("lang", F.inline("cuts")).select("lang", "class", "ratio", F.lit(False).alias("whole"))
-    sized = whole.unionByName(cut)
-    median = [
-        F.percentile_approx("ratio", 0.5).alias("any"), F.count(F.lit(1)).alias("n_any"),
-        F.percentile_approx(F.when(F.col("whole"), F.col("ratio")), 0.5).alias("own"), F.count(F.when(F.col("whole"), 1)).alias("n_own"),
-    ]
-    by_lang = sized.groupBy("lang", "class").agg(*median)
-    overall = sized.groupBy("class").agg(*median).select("class", *(F.col(c).alias(f"all_{c}") for c in ("any", "n_any", "own", "n_own")))
-    total = whole.agg(F.least(F.lit(spam.support), F.greatest(F.lit(5), F.ceil(F.count(F.lit(1)) / 10))).alias("enough"))  # one row
-    each = overall.crossJoin(F.broadcast(langs)).join(by_lang, ["lang", "class"], "left").crossJoin(F.broadcast(total))
-    usual = F.coalesce(
-        F.when(F.col("n_own") >= spam.support, F.col("own")),
-        F.when(F.col("all_n_own") >= F.col("enough"), F.col("all_own")),
-        F.when(F.col("n_any") >= spam.support, F.col("any")),
-        F.when(F.col("all_n_any") >= F.col("enough"), F.col("all_any")),
-    )
-    entries = each.withColumn("usual", usual).where("usual is not null")
-    return entries.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", "usual"))).alias("usual"))
+
+    level: float
+    block: float
+    text: float
+    langs: dict[str, float]
+    sizes: tuple[float, float] = (1.0, 1.0)
+    wholes: tuple[float, float] = (1.0, 1.0)
+
+    def column(self) -> Column:
+        size, whole = (
+            F.log(F.least(F.greatest(F.col(c), F.lit(a)), F.lit(b))) for c, (a, b) in (("size", self.sizes), ("whole", self.wholes))
+        )
+        factor = F.lit(1.0)
+        if self.langs:
+            pairs = F.create_map(*(F.lit(x) for pair in sorted(self.langs.items()) for x in pair))
+            factor = F.coalesce(F.try_element_at(pairs, F.col("lang")), factor)
+        return F.exp(F.lit(self.level) + F.lit(self.block) * size + F.lit(self.text) * whole) * factor
+
+
+def expected(prose: DataFrame, spam: Spam) -> Expected:
+    """The fit to the median ratios of ``prose`` (lang, size, whole, ratio); two length classes to a doubling."""
+    classes = [F.floor(F.log2(F.greatest(c, F.lit(1))) * 2).cast("int").alias(c) for c in ("size", "whole")]
+    by_class = prose.select("lang", "ratio", *classes).groupBy("lang", "size", "whole")
+    found = by_class.agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count(F.lit(1)).alias("n")).collect()
+    if not found:
+        return Expected(0.0, 0.0, 0.0, {})
+    x = np.array([[(r["size"] + 0.5) / 2, (r["whole"] + 0.5) / 2] for r in found]) * np.log(2)
+    y, n = np.log([max(1e-3, r["usual"]) for r in found]), np.array([float(r["n"]) for r in found])
+    weight = n
+    for _ in range(30):  # towards least absolute deviations, so that a class of repeated notices bends nothing
+        mean_x, mean_y = (x * weight[:, None]).sum(axis=0) / weight.sum(), (y * weight).sum() / weight.sum()
+        heavy = np.sqrt(weight)
+        # about the means: lengths that do not vary get no slope
+        slope = np.linalg.lstsq((x - mean_x) * heavy[:, None], (y - mean_y) * heavy, rcond=1e-6)[0]
+        level = mean_y - slope @ mean_x
+        weight = n / np.maximum(np.abs(y - level - x @ slope), 0.02)
+    off = y - level - x @ slope
+    langs = {}
+    for lang in {r["lang"] for r in found}:
+        own = np.array([r["lang"] == lang for r in found])
+        langs[lang] = float(np.exp((off[own] * n[own]).sum() / (n[own].sum() + spam.lean)))
+    return Expected(float(level), float(slope[0]), float(slope[1]), langs, *(_range(np.exp(x[:, i]), weight) for i in (0, 1)))
+
+
+def _range(lengths: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Between which lengths all but a hundredth at either end stand."""
+    order = np.argsort(lengths)
+    upto = np.cumsum(weight[order]) / weight.sum()
+    low, high = (lengths[order][min(len(lengths) - 1, int(np.searchsorted(upto, q)))] for q in (0.01, 0.99))
+    return float(low), float(high)
 
 
 def spam_report(
@@ -252,8 +289,8 @@ def spam_report(
     """doc_id, own_words, spam_words, spam_share, is_spam of every document with an id and a text.
 
     A language is its first two letters, lower case; a null or other one counts as unknown, which has its own
-    expected ratios. A document given twice is judged once per row and kept once. A mail without own words is none.
-    Without prose enough for any length there is nothing to expect and a block's own ratio counts.
+    factor. A document given twice is judged once per row and kept once. A mail without own words is none. Without
+    any prose there is nothing to expect and a block's own ratio counts.
     """
     spam = spam or Spam()
     code = F.lower(F.trim(F.col(lang)))
@@ -261,18 +298,12 @@ def spam_report(
     features = spool(
         documents.select(F.col(doc_id).cast("long"), F.col(text), code.alias("lang")).mapInArrow(_scanner(spam), BLOCKS)
     )
-    each = features.select("doc_id", "lang", F.inline("blocks")).withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1))) * 2).cast("int"))
-    expected = _expected(each.where("prose"), features.select("lang").distinct(), spam)
-    judged = each.join(F.broadcast(expected), "lang", "left")
-    own = F.array(F.struct(F.col("class"), F.col("ratio")))
-    # the block as it is where prose fills its class, else cut to the greatest class that prose fills
-    at = F.filter(F.concat(own, "cuts"), lambda c: F.col("usual")[c["class"]].isNotNull())
-    judged = judged.withColumn("at", F.get(at, F.lit(0)))
-    redundant = F.coalesce(F.col("at.ratio") <= F.col("usual")[F.col("at.class")] * spam.below, F.col("ratio") <= spam.below)
+    each = features.select("doc_id", "lang", F.inline("blocks"))
     bare = F.col("ends") < F.col("words") * spam.ends
-    flagged = ~F.col("prose") & (F.col("words") >= spam.least) & redundant & bare
+    usual = expected(each.where(~bare), spam)
+    flagged = bare & (F.col("ratio") <= usual.column() * spam.below)
     return (
-        judged.groupBy("doc_id")
+        each.groupBy("doc_id")
         .agg(F.sum("words").alias("own_words"), F.sum(F.when(flagged, F.col("words")).otherwise(0)).alias("spam_words"))
         .withColumn("spam_share", F.col("spam_words") / F.greatest("own_words", F.lit(1)))
         .withColumn("is_spam", F.col("spam_share") > spam.share)

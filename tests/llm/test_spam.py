@@ -83,7 +83,8 @@ def test_own_text():
 def test_blocks_count_all_words():
     parts = [("plain", "One sentence here. Another one there.\n\nbuy lamp buy lamp buy lamp buy lamp")]
     blocks = blocks_of(parts, Spam())
-    assert [(b["prose"], b["words"]) for b in blocks] == [(True, 6), (False, 8)]
+    assert [(b["ends"], b["words"]) for b in blocks] == [(2, 14)]
+    assert [b["words"] for b in blocks_of(parts, Spam(block=60))] == [6, 8]
 
 
 def test_long_blocks_where_prose_is_short(spark):
@@ -100,3 +101,35 @@ def test_long_blocks_where_prose_is_short(spark):
     rows.append((3000, head + " ".join("".join(rng.choice(letters) for _ in range(7)) for _ in range(500)), "en", "", 0))
     report = spam.spam_report(spark.createDataFrame(rows, DOCS)).where("is_spam").collect()
     assert {r.doc_id for r in report} == {2000, 2001, 2002, 2003, 2010}
+
+
+@pytest.mark.parametrize("size", [20, 192, 5000])
+def test_pieces_hold_every_word(size):
+    rng = random.Random(size)
+    text = "\n\n".join(" ".join(rng.choice(["a", "longer", "x" * 300, "word."]) for _ in range(rng.randint(0, 90))) for _ in range(30))
+    assert " ".join(spam._pieces(text, size)).split() == text.split()
+    assert spam._pieces("", size) == [] and spam._pieces(" \n\n ", size) == []
+
+
+def test_each_test_matters(spark):
+    """Notices that repeat whole sentences are redundant and punctuated, tables neither: only both tests leave the pages."""
+    rng = random.Random(12)
+    head = "Subject: s\nContent-Type: text/plain\n\n"
+    rows = [(i, head + sentences(rng, rng.randint(3, 9)), "en", "", 0) for i in range(300)]
+    rows += [(1000 + i, head + "The job has ended well. Nothing is left to do. " * 20, "en", "", 0) for i in range(5)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows += [(2000 + i, head + "\n".join("".join(rng.choice(letters) for _ in range(6)) + f" {rng.randrange(9999)}" for _ in range(60)), "en", "", 0) for i in range(5)]
+    rows += [(3000 + i, head + keywords(rng, 90), "en", "", 0) for i in range(5)]
+    df = spark.createDataFrame(rows, DOCS)
+    cases = lambda **kw: {r.doc_id // 1000 for r in spam.spam_report(df, Spam(**kw)).where("is_spam").collect()}
+    assert cases() == {3} and cases(below=99.0) == {2, 3}
+    features = spam.spam_report(df, Spam(ends=99.0))  # every block bare: no prose, a block's own ratio counts
+    assert {1, 3} <= {r.doc_id // 1000 for r in features.where("is_spam").collect()}
+
+
+def test_expectation_is_a_smooth_fit(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["en", "de"]), s, w, 2.0 * s**-0.1 * w**-0.05) for s in (50, 100, 200, 400) for w in (400, 900, 3000) for _ in range(40)]
+    fit = spam.expected(spark.createDataFrame(rows, "lang string, size int, whole int, ratio double"), Spam())
+    assert abs(fit.block + 0.1) < 0.03 and abs(fit.text + 0.05) < 0.03 and all(abs(x - 1) < 0.05 for x in fit.langs.values())
+    assert spam.expected(spark.createDataFrame([], "lang string, size int, whole int, ratio double"), Spam()).langs == {}
