@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.operators import current, history, orphans, shred, treeagg
 from knotwork.plans.tables import table
+from knotwork.session import spool
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,22 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.snapshot(orphans.orphan_ledger(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "edges")))
 
 
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts after three batches: all references and the labelled nodes; nodes without label arrive late; nodes
+    without attributes are deleted, and the references without a label come again."""
+    nodes, edges = table(spark, sf_dir, "nodes"), table(spark, sf_dir, "edges")
+    refs = orphans.references(edges)
+    state = orphans.advance(orphans.empty_state(spark), refs, orphans.parents(nodes.where("label is not null")))
+    state = orphans.advance(
+        orphans.OrphanState(spool(state.index), spool(state.ledger), refs), new_parents=orphans.parents(nodes.where("label is null"))
+    )
+    gone = nodes.where("attributes is null").select(F.col("id").alias("ref"))
+    state = orphans.advance(
+        orphans.OrphanState(spool(state.index), spool(state.ledger), refs), orphans.references(edges.where("label is null")), deleted=gone
+    )
+    return orphans.snapshot(state.ledger)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         shred.objects(shred.shred(table(spark, sf_dir, name), name, "id", "resource", values=False))
@@ -61,6 +78,7 @@ QUERIES = {
     "p2_profile": p2_profile,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_batches": p3_batches,
     "p4_found": p4_found,
     "p4_tables": p4_tables,
     "p5_found": p5_found,
@@ -135,6 +153,24 @@ led AS (
 SELECT 'edges' AS tbl, side, month, count(*) AS orphans, count_if(waiting) AS waiting, count_if(NOT waiting) AS resolved,
        count_if(NOT waiting AND came = month) AS resolved_in_month
 FROM led GROUP BY 1, 2, 3
+""",
+    "p3_batches": """
+WITH refs AS (
+  SELECT DISTINCT embed_id, side, ref, created_at AS made FROM (
+    SELECT embed_id, 'source' AS side, source AS ref, created_at FROM edges
+    UNION ALL SELECT embed_id, 'target', target, created_at FROM edges) e WHERE ref IS NOT NULL),
+one AS (SELECT id, min(created_at) AS first_at, bool_or(created_at IS NULL) AS untimed FROM nodes WHERE id IS NOT NULL AND label IS NOT NULL GROUP BY id),
+two AS (SELECT id, min(created_at) AS first_at, bool_or(created_at IS NULL) AS untimed FROM nodes WHERE id IS NOT NULL AND label IS NULL GROUP BY id),
+gone AS (SELECT DISTINCT id FROM nodes WHERE attributes IS NULL AND id IS NOT NULL),
+led AS (
+  SELECT side, made, gone.id IS NOT NULL AS deleted, gone.id IS NOT NULL OR (one.id IS NULL AND two.id IS NULL) AS waiting,
+    CASE WHEN two.untimed THEN NULL WHEN one.id IS NULL THEN two.first_at ELSE least(one.first_at, two.first_at) END AS came
+  FROM refs LEFT JOIN one ON one.id = ref LEFT JOIN two ON two.id = ref LEFT JOIN gone ON gone.id = ref
+  WHERE gone.id IS NOT NULL OR one.id IS NULL OR (NOT one.untimed AND one.first_at > made))
+SELECT 'edges' AS tbl, side, strftime(made AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS orphans, count_if(waiting) AS waiting,
+       count_if(NOT waiting) AS resolved,
+       count_if(NOT waiting AND strftime(came AT TIME ZONE 'UTC', '%Y-%m') = strftime(made AT TIME ZONE 'UTC', '%Y-%m')) AS resolved_in_month
+FROM led GROUP BY 1, 2, 3
 """,
     "p5_found": _USABLE
     + """

@@ -21,6 +21,10 @@ RELATIONS = (
     "embed_id long, source_id string, source_type string, target_id string, target_type string, relation string, "
     "resource string"
 )
+ORPHAN_INDEX = "ref string, first_at timestamp, untimed boolean"
+ORPHAN_REFS = "ref_id long, side string, ref string, at timestamp"
+ORPHAN_LEDGER = f"{ORPHAN_REFS}, status string, resolved_at timestamp"
+BATCHES = "stream string, batch_id long"
 ONTOLOGY = "class string, property string, range string"
 
 TABLES = {
@@ -33,6 +37,10 @@ TABLES = {
     "resource_history": HISTORY,
     "relations": RELATIONS,
     "ontology": ONTOLOGY,
+    "orphan_index": ORPHAN_INDEX,
+    "orphan_refs": ORPHAN_REFS,
+    "orphan_ledger": ORPHAN_LEDGER,
+    "batches": BATCHES,
 }
 
 

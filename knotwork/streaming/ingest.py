@@ -40,13 +40,33 @@ def live(resources: DataFrame) -> DataFrame:
     return resources.where("status <> 'deleted'")
 
 
-def stream_orphans(source: DataFrame, state: list[orphans.OrphanState], checkpoint: str) -> StreamingQuery:
-    """References (ref_id, side, ref, at) against a held state; ``state[0]`` is the state after the last batch."""
+def orphan_state(store: SnapshotStore) -> orphans.OrphanState:
+    """The state after the last committed batch."""
+    return orphans.OrphanState(store.read("orphan_index"), store.read("orphan_ledger"), store.read("orphan_refs"))
 
-    def apply(batch: DataFrame, _: int) -> None:
-        from knotwork.session import cut
 
-        after = orphans.advance(state[0], new_refs=batch)
-        state[0] = orphans.OrphanState(after.index, cut(after.ledger))
+def stream_orphans(source: DataFrame, store: SnapshotStore, checkpoint: str, name: str = "orphans") -> StreamingQuery:
+    """References, parents and deletions against the state in the store.
+
+    ``source`` has columns kind ('reference', 'parent' or 'deleted'), ref_id, side, ref and at. State and batch number
+    are committed together under the stream's ``name``, so a batch that is replayed after a failure is passed over.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batches = store.read("batches")
+        last = batches.where(F.col("stream") == name).agg(F.max("batch_id")).first()[0]
+        if last is not None and number <= last:
+            return
+        kind = lambda k: batch.where(F.col("kind") == k)
+        after = orphans.advance(
+            orphan_state(store),
+            kind("reference").where("ref is not null").select("ref_id", "side", "ref", "at"),
+            orphans.parents(kind("parent"), "ref", "at"),
+            kind("deleted").select("ref"),
+        )
+        done = batches.where(F.col("stream") != name).unionByName(
+            batch.sparkSession.createDataFrame([(name, number)], "stream string, batch_id long")
+        )
+        store.commit(orphan_index=after.index, orphan_ledger=after.ledger, orphan_refs=after.refs, batches=done)
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

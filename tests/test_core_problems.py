@@ -125,6 +125,52 @@ def test_orphan_state_over_batches(spark):
     assert {(r.ref_id, r.ref, r.status) for r in s.ledger.collect()} == {(1, "a", "waiting"), (1, "b", "waiting"), (2, "a", "waiting")}
 
 
+def test_repeated_batches_change_nothing(spark):
+    refs = orphans.references(spark.createDataFrame([(1, "a", "b", T(2020, 1, 1)), (1, "a", "b", T(2020, 1, 1))], "embed_id long, source string, target string, created_at timestamp"))
+    once = orphans.advance(orphans.empty_state(spark), refs)
+    twice = orphans.advance(once, refs)
+    assert once.ledger.count() == twice.ledger.count() == 2 and twice.refs.count() == 2
+    nodes = orphans.parents(spark.createDataFrame([("a", None), ("b", T(2020, 3, 1))], "id string, created_at timestamp"))
+    late = orphans.advance(orphans.advance(twice, new_parents=nodes), refs, nodes)
+    assert {(r.ref, r.status, r.resolved_at) for r in late.ledger.collect()} == {("a", "resolved", None), ("b", "resolved", T(2020, 3, 1))}
+    earlier = orphans.advance(late, new_parents=orphans.parents(spark.createDataFrame([("b", T(2019, 3, 1))], "id string, created_at timestamp")))
+    assert orphans.still_orphans(late.ledger).count() == 1 and orphans.still_orphans(earlier.ledger).count() == 0
+
+
+def test_batches_find_what_one_batch_finds(spark):
+    """Parents in three parts, references in two, one of them sent twice, with ids hot and not."""
+    rng = random.Random(14)
+    edges = edge_rows(400, 15)
+    nodes = [(rng.choice([f"n{i}" for i in range(50)] + ["hot"]), rng.choice([None] + [T(2020, m, 3) for m in range(1, 13)])) for _ in range(60)]
+    refs = lambda rows: orphans.references(spark.createDataFrame(rows, EDGES))
+    own = lambda rows: orphans.parents(spark.createDataFrame(rows, "id string, created_at timestamp"))
+    s = orphans.advance(orphans.empty_state(spark), refs(edges[:250]), own(nodes[:20]))
+    s = orphans.advance(s, refs(edges[200:]), own(nodes[20:40]))
+    s = orphans.advance(s, refs(edges[:100]), own(nodes[40:]))
+    assert {(r.ref_id, r.side) for r in orphans.still_orphans(s.ledger).collect()} == brute_orphans([(*n, 1, "") for n in nodes], edges)
+    assert s.ledger.count() == s.ledger.select("ref_id", "side", "ref", "at").distinct().count()
+
+
+def test_orphan_stream_survives_a_replay(spark, tmp_path):
+    from knotwork.sources.store import SnapshotStore
+    from knotwork.streaming import ingest
+
+    schema = "kind string, ref_id long, side string, ref string, at timestamp"
+    feed, store = str(tmp_path / "feed"), SnapshotStore(spark, str(tmp_path / "s"))
+
+    def batch(rows, checkpoint):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        ingest.stream_orphans(spark.readStream.schema(schema).parquet(feed), store, str(tmp_path / checkpoint)).awaitTermination()
+
+    batch([("reference", 1, "source", "a", T(2020, 1, 1)), ("reference", 1, "target", "b", T(2020, 1, 1)), ("parent", None, None, "a", T(2019, 1, 1))], "c")
+    rows = lambda: {(r.ref, r.status) for r in ingest.orphan_state(store).ledger.collect()}
+    assert rows() == {("b", "waiting")}
+    batch([("parent", None, None, "b", T(2020, 2, 1)), ("deleted", None, None, "a", None)], "c")
+    assert rows() == {("b", "resolved"), ("a", "waiting")}
+    batch([], "lost")  # the source's own checkpoint is gone and batch 0 is everything again
+    assert rows() == {("b", "resolved"), ("a", "waiting")} and ingest.orphan_state(store).ledger.count() == 2
+
+
 RECORDS = "id string, resource string, tbl string, path string"
 
 
