@@ -57,6 +57,8 @@ class Search:
     dims: int = 64
     probes: int | None = None
     recall: float = 0.99
+    #: Further lists, by rank, that a vector looks into where a cell it travels to holds them: they cost no travel.
+    beside: int = 8
     calibrate: int = 256
     list_rows: int = 128
     max_lists: int = 1 << 20
@@ -333,12 +335,16 @@ def _router(shared, search: Search):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         step = max(256, TILE // max(len(index.tops), index.probes * 16))
+        ranks = min(index.probes + search.beside, len(index.centroids))
         for batch in batches:
             for start in range(0, len(batch), step):
                 piece = batch.slice(start, step)
                 ids = np.asarray(piece.column(0))
                 x = _matrix(piece.column(1), search.dims)
-                top = _nearest_lists(index, _unit(x), index.probes, index.groups)[0]
+                top = _nearest_lists(index, _unit(x), ranks, index.groups)[0]
+                cells_of = index.cell[top]
+                for r in range(index.probes, ranks):
+                    top[~(cells_of[:, r, None] == cells_of[:, : index.probes]).any(axis=1), r] = -1
                 home = top[:, 0].astype(np.int32)
                 # indexed once, in the cell of its nearest list, salted if that list is spread over several cells
                 salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.spread[home]
