@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.arrow import arrow_schema
 from knotwork.functions.strictjson import INVALID, decode, encode, printable
+from knotwork.session import spool
 
 ROWS = (
     "tbl string, record_key string, element string, path string, parent_element string, parent_row string, "
@@ -30,9 +31,13 @@ GRAPH = "parent string, child string, repeated boolean"
 _MARKS = re.compile(r"[.\[\\]")
 #: Rows that leave Python together.
 FLUSH = 8192
-#: Schema edges the driver reads. A graph beyond this (field names that are data) is not inlined at all: every
-#: element then is a table of its own, which needs no graph and loses nothing.
-MAX_EDGES = 50_000
+#: Schema edges that a task remembers, to send each only once or a few times.
+REMEMBERED = 50_000
+#: Names of table elements that are broadcast. Where field names are data there may be more; every record then gets
+#: the table elements among its own names by a join. The layout is the same.
+BROADCAST_NAMES = 100_000
+#: A name is hot, and joined by broadcast, from this share of all (record, name) pairs on.
+HOT = 0.001
 
 
 def read_object(text: str | None) -> dict | None:
@@ -95,7 +100,7 @@ def _graph(root: str):
                                     seen.add(edge)
                                     fresh.add(edge)
                                 stack.append((child, name))
-                if len(seen) > MAX_EDGES:  # forget, so that memory stays bounded; the graph is made distinct later
+                if len(seen) > REMEMBERED:  # forget, so that memory stays bounded; the graph is made distinct later
                     seen = set()
             if fresh:
                 a, b, c = zip(*fresh)
@@ -109,33 +114,56 @@ def _graph(root: str):
 
 @dataclass(frozen=True)
 class Layout:
-    """The elements that are tables; None: all are."""
+    """The elements that are tables; None: all are. ``names`` (column name) holds them where they are too many to send."""
 
     root: str
     tables: frozenset[str] | None
-
-    def is_table(self, element: str) -> bool:
-        return self.tables is None or element in self.tables
-
-
-def analyse(records: DataFrame, body: str, root: str) -> Layout:
-    """The layout of a table's records, from the schema graph of all of them."""
-    edges = records.select(body).mapInArrow(_graph(root), GRAPH).distinct().limit(MAX_EDGES + 1).collect()
-    if len(edges) > MAX_EDGES:
-        return Layout(root, None)
-    parents: dict[str, set[str]] = {}
-    repeated: set[str] = set()
-    for e in edges:
-        parents.setdefault(e.child, set()).add(e.parent)
-        if e.repeated:
-            repeated.add(e.child)
-    shared = {child for child, above in parents.items() if len(above) > 1}
-    return Layout(root, frozenset({root} | repeated | shared))
+    names: DataFrame | None = None
+
+
+def analyse(records: DataFrame, body: str, root: str, most: int = BROADCAST_NAMES) -> Layout:
+    """The layout of a table's records, from the schema graph of all of them; its parents are counted in the cluster."""
+    edges = records.select(body).mapInArrow(_graph(root), GRAPH).distinct()
+    tables = edges.groupBy("child").agg(F.bool_or("repeated").alias("repeated"), F.count_distinct("parent").alias("n"))
+    names = spool(tables.where("repeated or n > 1").select(F.col("child").alias("name")))
+    if names.count() > most:
+        return Layout(root, frozenset({root}), names)
+    return Layout(root, frozenset({root} | {r.name for r in names.collect()}))
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every record's distinct names of fields that hold objects."""
+    for batch in batches:
+        rows, held = [], []
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own: set[str] = set()
+            stack = [top] if (top := read_object(text)) is not None else []
+            while stack:
+                for name, value in stack.pop().items():
+                    inside = [x for x, _, _ in _objects(value, "")]
+                    if inside:
+                        own.add(printable(name))
+                        stack += inside
+            rows += [row] * len(own)
+            held += own
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(held, pa.string())], names=["row", "name"])
+
+
+def _with_own_tables(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` (record_key, body) with the table elements among each record's names, hot names by broadcast."""
+    rows = spool(rows.withColumn("row", F.monotonically_increasing_id()))
+    pairs = spool(rows.select("row", "body").mapInArrow(_names, "row long, name string"))
+    counts = spool(pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") > F.lit(total * HOT)).select("name"))
+    near = pairs.join(F.broadcast(hot.join(names, "name", "left_semi")), "name", "left_semi")
+    far = pairs.join(hot, "name", "left_anti").join(names, "name", "left_semi")
+    own = near.unionByName(far).groupBy("row").agg(F.collect_set("name").alias("own"))  # a record's own names
+    return rows.join(own, "row", "left").select("record_key", "body", "own")
 
 
 def _shredder(tbl: str, layout: Layout, values: bool):
-    root, is_table = layout.root, layout.is_table
-
+    root, everywhere = layout.root, layout.tables
     schema = arrow_schema(ROWS)
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +177,12 @@ def _shredder(tbl: str, layout: Layout, values: bool):
             )
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(batch)
+            for key, text, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), own):
                 top = read_object(text)
                 if top is None:
                     continue
+                tables = everywhere if not names else everywhere.union(names)
                 # a row still to be walked: object, element, path, its parent's element, row and path, place in its list
                 rows = [(top, root, "", None, None, None, 0)]
                 while rows:
@@ -171,7 +201,7 @@ def _shredder(tbl: str, layout: Layout, values: bool):
                                 found = False
                                 for i, (child, where, repeated) in enumerate(_objects(value, here)):
                                     found = True
-                                    if repeated or is_table(name):
+                                    if repeated or tables is None or name in tables:
                                         rows.append((child, name, where, element, path, at, i))
                                     else:
                                         inlined.append({"path": where, "parent_path": at})
@@ -204,7 +234,9 @@ def shred(records: DataFrame, tbl: str, key: str, body: str, values: bool = True
     """
     layout = layout or analyse(records, body, tbl)
     rows = records.select(F.col(key).cast("string").alias("record_key"), F.col(body).alias("body"))
-    return rows.mapInArrow(_shredder(tbl, layout, values), ROWS)
+    if layout.names is not None:
+        rows = _with_own_tables(rows, layout.names)
+    return rows.mapInArrow(_shredder(tbl, Layout(layout.root, layout.tables), values), ROWS)
 
 
 def objects(rows: DataFrame) -> DataFrame:

@@ -95,6 +95,16 @@ WITH known AS (
 )
 """
 
+_TOPS = """
+WITH docs AS (
+  SELECT 'devicerequest' AS tbl, id AS record_key, resource FROM devicerequest UNION ALL
+  SELECT 'fhir_transaction', id::VARCHAR, resource FROM fhir_transaction
+), once AS (
+  SELECT tbl, record_key, CASE WHEN json_type(resource) = 'VARCHAR' THEN resource ->> '$' ELSE resource END AS doc
+  FROM (SELECT tbl, record_key, CASE WHEN json_valid(resource) THEN resource END AS resource FROM docs) x
+), tops AS (SELECT tbl, record_key, doc FROM (SELECT *, CASE WHEN json_valid(doc) THEN doc END AS ok FROM once) x WHERE json_type(ok) = 'OBJECT')
+"""
+
 _TREE_PATH = "regexp_replace(replace(t.fullkey, '\"', ''), '^\\$\\.?', '')"
 
 SQL = {
@@ -110,15 +120,49 @@ SQL = {
 SELECT id, txid AS txid_from, coalesce(next, -1) AS txid_to FROM points WHERE NOT gone
 """,
     "p4_found": f"""
-WITH docs AS (
-  SELECT 'devicerequest' AS tbl, id AS record_key, resource FROM devicerequest UNION ALL
-  SELECT 'fhir_transaction', id::VARCHAR, resource FROM fhir_transaction
-), once AS (
-  SELECT tbl, record_key, CASE WHEN json_type(resource) = 'VARCHAR' THEN resource ->> '$' ELSE resource END AS doc
-  FROM (SELECT tbl, record_key, CASE WHEN json_valid(resource) THEN resource END AS resource FROM docs) x
-), tops AS (SELECT tbl, record_key, doc FROM (SELECT *, CASE WHEN json_valid(doc) THEN doc END AS ok FROM once) x WHERE json_type(ok) = 'OBJECT')
+{_TOPS}
 SELECT DISTINCT tbl, record_key, regexp_replace({_TREE_PATH}, '\\.?[^.]+$', '') AS parent_path, {_TREE_PATH} AS path
 FROM tops, json_tree(tops.doc) t WHERE t.type = 'OBJECT' AND t.fullkey <> '$'
+""",
+    "p4_tables": f"""
+WITH RECURSIVE {_TOPS.strip().removeprefix("WITH")}, numbered AS (SELECT *, row_number() OVER () AS rid FROM tops),
+nodes_of AS (
+  SELECT n.tbl, n.rid, {_TREE_PATH} AS path, t.type FROM numbered n, json_tree(n.doc) t
+), named AS (
+  SELECT *, regexp_replace(path, '(\\[[0-9]+\\])+$', '') AS field, path LIKE '%]' AS repeated FROM nodes_of
+), owned AS (
+  SELECT *, regexp_extract(field, '[^.]+$') AS element, regexp_replace(field, '\\.?[^.]+$', '') AS parent_path FROM named
+), objects AS (
+  SELECT o.*, coalesce(nullif(regexp_extract(regexp_replace(parent_path, '(\\[[0-9]+\\])+$', ''), '[^.]+$'), ''), tbl) AS above
+  FROM owned o WHERE type = 'OBJECT' AND path <> ''
+), tables AS (
+  SELECT tbl, element FROM objects GROUP BY 1, 2 HAVING bool_or(repeated) OR count(DISTINCT above) > 1
+), marked AS (
+  SELECT o.tbl, o.rid, o.path, o.parent_path, o.element, o.repeated OR t.element IS NOT NULL AS own_row
+  FROM objects o LEFT JOIN tables t USING (tbl, element)
+), climb AS (
+  SELECT tbl, rid, path, element, own_row, parent_path AS at FROM marked
+  UNION ALL
+  SELECT c.tbl, c.rid, c.path, c.element, c.own_row, m.parent_path FROM climb c JOIN marked m ON m.rid = c.rid AND m.path = c.at AND NOT m.own_row
+), placed AS (
+  SELECT c.tbl, c.rid, c.path, c.element, c.own_row, c.at AS row_path, coalesce(m.element, c.tbl) AS row_element
+  FROM climb c LEFT JOIN marked m ON m.rid = c.rid AND m.path = c.at WHERE c.at = '' OR m.own_row
+), rows_of AS (
+  SELECT tbl, rid, path, element, row_element AS parent_element FROM placed WHERE own_row
+  UNION ALL SELECT tbl, rid, '', tbl, NULL FROM numbered
+), owner AS (
+  SELECT tbl, rid, path, CASE WHEN own_row THEN path ELSE row_path END AS row_path FROM placed
+  UNION ALL SELECT tbl, rid, '', '' FROM numbered
+), fields AS (
+  SELECT tbl, rid, field, any_value(parent_path) AS holder, max(CASE WHEN path = field THEN type END) AS kind,
+    count_if(type = 'OBJECT') AS n_objects, count_if(path <> field AND type NOT IN ('OBJECT', 'ARRAY', 'NULL')) AS n_beside
+  FROM owned WHERE path <> '' GROUP BY 1, 2, 3
+), counted AS (
+  SELECT o.rid, o.row_path, sum(CASE WHEN kind = 'OBJECT' THEN 0 WHEN kind <> 'ARRAY' THEN 1 WHEN n_objects > 0 THEN n_beside ELSE 1 END) AS n
+  FROM fields f JOIN owner o ON o.rid = f.rid AND o.path = f.holder GROUP BY 1, 2
+)
+SELECT r.tbl, r.element, r.parent_element, count(*) AS n_rows, sum(coalesce(c.n, 0))::BIGINT AS n_values
+FROM rows_of r LEFT JOIN counted c ON c.rid = r.rid AND c.row_path = r.path GROUP BY 1, 2, 3
 """,
     "p2_found": """
 SELECT side, node_id FROM (

@@ -278,3 +278,16 @@ def test_mixed_lists_and_dotted_names_lose_nothing(spark):
     top = next(r for r in rows if r.element == "t")
     assert top.columns == {"m[1]": "7", "m[2][0]": "8", "m[3]": '"t"', "a.b": "1", "a\\.b": "2", "m\\[1]": "3"}
     assert sorted(r.columns["x"] for r in rows if r.element == "m") == ["1", "2"]
+
+
+def test_layout_by_join_is_the_layout_by_broadcast(spark):
+    """Where the names of table elements are too many to send, each record gets its own by a join."""
+    rows = [(str(i), json.dumps(d), "", "") for i, d in enumerate(DOCS * 3)] + [("n", None, "", ""), ("c", "{", "", "")]
+    df = spark.createDataFrame(rows, RECORDS)
+    joined = shred.analyse(df, "resource", "t", most=0)
+    assert joined.names is not None
+    shape = lambda layout: sorted(
+        (r.record_key, r.element, r.path, str(r.parent_row), sorted(r.columns.items()), sorted((x.path, x.parent_path) for x in r.inlined))
+        for r in shred.shred(df, "t", "id", "resource", layout=layout).collect()
+    )
+    assert shape(joined) == shape(shred.analyse(df, "resource", "t"))
