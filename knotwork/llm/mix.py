@@ -4,8 +4,9 @@ Each record draws an exponential key, scaled by its quality weight (Efraimidis a
 from a hash of the record, so that any run draws the same. A source's budget is met by complete epochs first, every
 record once per epoch; the rest goes to records in key order until the prefix sum of their tokens reaches it.
 
-The prefix sum needs no sort of a whole source: keys fall into fixed buckets, the buckets' sums say which are
-inside the budget as a whole, and only the one bucket that a source's budget cuts is sorted.
+The prefix sum needs no sort of a whole source. A histogram of a source's keys says in which of its bars the budget
+ends; that bar gets a histogram of its own, and so on until it holds few records, whatever the weights. Only these
+are sorted. The driver holds one bar per source and round.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from knotwork.llm.mail import texts
 from knotwork.session import spool
 
 MEASURED = "record string, doc_id long, source string, n_tokens long, quality double"
-#: Buckets of keys; a source's cut bucket holds about this fraction of its records.
+#: Bars of a histogram of keys.
 BUCKETS = 4096
+#: Records of a source that are sorted at most.
+SORTED = 65_536
 # Fixed value: the pattern that the public byte-level vocabularies split words by.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -140,6 +143,33 @@ def budgets(targets: list, available: dict[str, int], total: int | None) -> list
     ]
 
 
+def _cuts(drawn: DataFrame, rest: dict[str, float]) -> list[tuple[str, float, float, int]]:
+    """(source, low, high, before) of each source whose ``rest`` ends within it: among its records with keys from low
+    to high, at most ``SORTED``, below which ``before`` tokens lie."""
+    spark = drawn.sparkSession
+    spans = drawn.groupBy("source").agg(F.min("key"), F.max("key"), F.count(F.lit(1)), F.sum("n_tokens")).collect()
+    todo = [(s, low, high, 0, n) for s, low, high, n, held in spans if 0 < rest.get(s, 0.0) < held]
+    done = []
+    while todo:
+        done += [t[:4] for t in todo if t[4] <= SORTED or t[1] == t[2]]
+        todo = [t for t in todo if t[4] > SORTED and t[1] < t[2]]
+        if not todo:
+            break
+        bars = F.broadcast(
+            spark.createDataFrame([(*t[:4], rest[t[0]]) for t in todo], "source string, low double, high double, before long, rest double")
+        )
+        inside = drawn.join(bars, "source").where("key between low and high")
+        bar = F.least(F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * BUCKETS), F.lit(BUCKETS - 1))
+        sums = inside.groupBy("source", bar.alias("bar"), "before", "rest").agg(
+            F.sum("n_tokens").alias("held"), F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last")
+        )
+        upto = Window.partitionBy("source").orderBy("bar").rowsBetween(Window.unboundedPreceding, -1)
+        placed = sums.withColumn("below", F.col("before") + F.coalesce(F.sum("held").over(upto), F.lit(0)))
+        ends = placed.where("below <= rest and below + held > rest")
+        todo = [tuple(r) for r in ends.select("source", "first", "last", "below", "n").collect()]
+    return done
+
+
 def mix_sources(documents: DataFrame, targets: DataFrame, mix: Mix | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, report): the records used with their number of uses, and per source what came out.
 
@@ -155,7 +185,6 @@ def mix_sources(documents: DataFrame, targets: DataFrame, mix: Mix | None = None
         measure(documents, mix)
         .where(F.col("source").isin(names) if names else F.lit(False))
         .withColumn("key", -F.log(u) / F.col("quality"))
-        .withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
     )
     available = {r[0]: r[1] for r in drawn.groupBy("source").agg(F.sum("n_tokens")).collect()}
     plan = budgets(wanted, available, mix.total)
@@ -165,17 +194,17 @@ def mix_sources(documents: DataFrame, targets: DataFrame, mix: Mix | None = None
             "source string, target_share double, max_repeats int, available_tokens long, budget_tokens double, epochs int, rest double",
         )
     )
-    sums = drawn.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("held"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edges = sums.withColumn("before", F.coalesce(F.sum("held").over(upto), F.lit(0)))
-    placed = drawn.join(F.broadcast(edges), ["source", "bucket"]).join(table, "source")
-    whole = placed.where(F.col("before") + F.col("held") <= F.col("rest")).withColumn("extra", F.lit(1))
-    beyond = placed.where((F.col("before") >= F.col("rest")) & (F.col("held") > 0) | (F.col("before") > F.col("rest")))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "record").rowsBetween(Window.unboundedPreceding, 0)
-    cut = placed.where((F.col("before") + F.col("held") > F.col("rest")) & (F.col("before") < F.col("rest"))).withColumn(
-        "extra", F.when(F.col("before") + F.sum("n_tokens").over(within) <= F.col("rest"), 1).otherwise(0)
+    cuts = _cuts(drawn, {b.source: b.rest for b in plan})
+    cut = F.broadcast(spark.createDataFrame(cuts, "source string, low double, high double, before long"))
+    placed = drawn.join(table, "source").join(cut, "source", "left")
+    sure = placed.where("low is null or key < low or key > high").withColumn(
+        "extra", F.when(F.col("low").isNull(), F.col("rest") > 0).otherwise(F.col("key") < F.col("low")).cast("int")
+    )
+    within = Window.partitionBy("source").orderBy("key", "record").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = placed.where("key between low and high").withColumn(
+        "extra", (F.col("before") + F.sum("n_tokens").over(within) <= F.col("rest")).cast("int")
     )
-    every = whole.unionByName(cut).unionByName(beyond.withColumn("extra", F.lit(0)))
+    every = sure.unionByName(sorted_)
     used = every.withColumn("uses", F.col("epochs") + F.col("extra")).where("uses > 0")
     records = used.select("doc_id", "source", "n_tokens", "uses")
     mixed = records.groupBy("source").agg(

@@ -77,3 +77,29 @@ def test_budgets():
 def test_quality_prefers_text():
     assert mix.quality("S: x\n\n" + "plain words here " * 40) > mix.quality("S: x\n\n" + "!!1?2 " * 120) >= 0.1
     assert mix.quality(None) == mix.quality("") == 0.1
+
+
+def test_records_are_those_of_sql_over_the_measures(spark, monkeypatch):
+    """Epochs first, then the prefix in key order, as one window over all says; weights far from 1, bars refined often."""
+    duckdb = pytest.importorskip("duckdb")
+    rows, options = corpus(), Mix(total=9000)
+    monkeypatch.setattr(mix, "SORTED", 3)
+    monkeypatch.setattr(mix, "BUCKETS", 4)
+    drawn = {}
+    whole = mix.spool
+    monkeypatch.setattr(mix, "spool", lambda df: drawn.setdefault("t", whole(df)))
+    records, report = mix.mix_sources(spark.createDataFrame(rows, DOCS), spark.createDataFrame(WANT, TARGETS), options)
+    records, report = records.collect(), report.collect()
+    measured = drawn["t"].toPandas()
+    assert measured.quality.min() < 0.2
+    plan = spark.createDataFrame(report).toPandas()
+    con = duckdb.connect()
+    con.register("measured", measured)
+    con.register("plan", plan)
+    want = con.execute("""
+      WITH budget AS (SELECT *, least(max_repeats, floor(budget_tokens / available_tokens)) AS epochs FROM plan WHERE available_tokens > 0),
+      prefixed AS (SELECT m.*, b.epochs, CASE WHEN b.epochs < b.max_repeats THEN b.budget_tokens - b.epochs * b.available_tokens ELSE 0 END AS rest,
+        sum(n_tokens) OVER (PARTITION BY m.source ORDER BY key, record ROWS UNBOUNDED PRECEDING) AS upto FROM measured m JOIN budget b USING (source))
+      SELECT doc_id, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INT AS uses FROM prefixed WHERE uses > 0
+    """).fetchall()
+    assert sorted(want) == sorted((r.doc_id, r.source, r.n_tokens, r.uses) for r in records)
