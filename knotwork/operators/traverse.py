@@ -1,9 +1,11 @@
 """Traversal: reachability, bodies, paths, neighbourhoods.
 
-One round of joins per hop, driven by a loop that only asks how large the frontier is. Each frontier is written
-to the shared folder, so a hop never recomputes an earlier one and survives lost executors; it holds ids only. A
-frontier of at most ``SMALL`` ids, by its count, is broadcast, so that the edges are not shuffled for it; a larger
-one is joined by sort-merge, where adaptive execution splits skewed ids.
+The steps, two columns of the edges, are written once in ``spark.checkpoint.dir``'s folder. A loop goes on from there,
+one write per hop, or per few hops of a small frontier, whose row counts come with it; a hop so never recomputes
+earlier writes and survives lost executors. A frontier of at most ``SMALL`` ids, by its count, is broadcast, so that the edges are not shuffled for it;
+a larger one is joined by sort-merge, where adaptive execution splits skewed ids. What has been seen is compacted
+whenever it lies in ``PIECES`` parts, so that a hop reads few files however deep the graph is. Connected components do
+not walk at all: stars are contracted, in rounds that grow with the logarithm of a component's size.
 """
 
 from __future__ import annotations
@@ -14,20 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.operators.lookup import limited, text_id
-from knotwork.session import cut, spool
+from knotwork.session import cut, spool, spool_counted
 
 #: Ids that are broadcast at most.
 SMALL = 200_000
+#: Frontiers that are read one by one at most.
+PIECES = 16
+#: Hops of a small frontier in one write.
+SPAN = 3
 
 
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
     out = edges.select(F.col("source").alias("at"), F.col("target").alias("to"))
     back = edges.select(F.col("target").alias("at"), F.col("source").alias("to"))
     steps = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    steps = steps.where("at is not null and to is not null")
-    # edges that are made by a query and not read from files are made once, not once per hop
-    made = any(x in steps._jdf.queryExecution().optimizedPlan().toString() for x in ("Aggregate", "Join", "Window", "MapInArrow"))
-    return spool(steps) if made else steps
+    return spool(steps.where("at is not null and to is not null and at <> to"))
 
 
 def _sized(ids: DataFrame, n: int) -> DataFrame:
@@ -38,23 +41,36 @@ def _sized(ids: DataFrame, n: int) -> DataFrame:
 def hops(
     edges: DataFrame, seeds: DataFrame, direction: str = "out", max_hops: int | None = None, stop_at: str | None = None
 ) -> DataFrame:
-    """id, hop: everything reachable from the seeds' ids, at the least number of hops; the seeds are hop 0.
+    """id, hop, via: everything reachable from the seeds' ids, at the least number of hops; the seeds are hop 0.
 
-    Ends when nothing new turns up, after ``max_hops``, or with the hop that reaches ``stop_at``. Cycles are safe.
+    ``via`` is the smallest id one hop before, null for seeds. Ends when nothing new turns up, after ``max_hops``, or
+    with the hop that reaches ``stop_at``. Cycles are safe.
     """
     steps = _steps(edges, direction)
-    frontier = cut(seeds.select("id").where("id is not null").distinct().withColumn("hop", F.lit(0)))
-    size = frontier.count()
-    found, hop, total = [frontier], 0, size
-    while size and (max_hops is None or hop < max_hops):
-        if stop_at is not None and not frontier.where(F.col("id") == stop_at).isEmpty():
-            break
-        hop += 1
-        seen = reduce(DataFrame.unionByName, found).select("id")
-        ahead = steps.join(_sized(frontier.select("id"), size), F.col("at") == F.col("id"), "left_semi").select(F.col("to").alias("id")).distinct()
-        frontier = cut(ahead.join(_sized(seen, total), "id", "left_anti").withColumn("hop", F.lit(hop)))
-        size = frontier.count()
-        total += size
+    reached = F.count_if(F.col("id") == F.lit(stop_at))
+    first = seeds.select("id").where("id is not null").distinct().select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"))
+    frontier, counted = spool_counted(first, reached=reached, last=F.count(F.lit(1)))
+    found, hop, total = [frontier], 0, counted["rows"]
+    while counted["last"] and not counted["reached"] and (max_hops is None or hop < max_hops):
+        if len(found) > PIECES:
+            found = [spool(reduce(DataFrame.unionByName, found))]
+        seen = _sized(reduce(DataFrame.unionByName, found).select("id"), total)
+        # a small frontier goes on for several hops in one write; one that stops at an id must look after each
+        span = SPAN if counted["last"] <= SMALL and stop_at is None else 1
+        span = span if max_hops is None else min(span, max_hops - hop)
+        levels: list[DataFrame] = []
+        before = _sized(frontier.where(F.col("hop") == hop).select(F.col("id").alias("at")), counted["last"])
+        for _ in range(span):
+            hop += 1
+            fresh = steps.join(before, "at").groupBy(F.col("to").alias("id")).agg(F.min("at").alias("via")).join(seen, "id", "left_anti")
+            for level in levels:
+                fresh = fresh.join(level.select("id"), "id", "left_anti")
+            levels.append(fresh.select("id", F.lit(hop).alias("hop"), "via"))
+            before = levels[-1].select(F.col("id").alias("at"))
+        frontier, counted = spool_counted(
+            reduce(DataFrame.unionByName, levels), reached=reached, last=F.count_if(F.col("hop") == F.lit(hop))
+        )
+        total += counted["rows"]
         found.append(frontier)
     return reduce(DataFrame.unionByName, found)
 
@@ -109,8 +125,12 @@ def neighbours_of(nodes: DataFrame, edges: DataFrame, ids: DataFrame, limit: int
     """Nodes at both ends of the edges that touch any of ``ids`` (column id). ``limit`` counts edges; 1 as in the
     reference's default. Ends without a node drop out."""
     wanted = ids.select("id").distinct()
-    each = edges.select("embed_id", "source", "target", F.explode(F.array("source", "target")).alias("id"))
-    touched = each.join(wanted, "id", "left_semi").drop("id").distinct()
+    rows = edges.select("embed_id", "source", "target")
+    touched = (
+        rows.join(wanted.withColumnRenamed("id", "source"), "source", "left_semi").select(*rows.columns)
+        .unionByName(rows.join(wanted.withColumnRenamed("id", "target"), "target", "left_semi").select(*rows.columns))
+        .distinct()
+    )
     ends = limited(touched, limit, "embed_id").select(F.explode(F.array("source", "target")).alias("id")).distinct()
     return nodes.join(ends, "id", "left_semi").select("id", "label", "attributes").distinct()
 
@@ -121,28 +141,59 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """id, label of every id at an edge: the smallest id of its connected component, regardless of direction.
+
+    Two contractions in turn until nothing moves: every id links its larger neighbours to the smallest (large star),
+    then its smaller neighbours and itself to the smallest of these (small star). Each is one grouped minimum and one
+    join on its result, and leaves at most as many links as before; a hub's links are joined with one row, where
+    adaptive execution splits them.
+    """
+    ends = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a is not null and b is not null")
+    alone = ends.where("a = b").select("a")
+    links, counted = spool_counted(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while counted["rows"]:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = spool(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"))
+        contracted = small.select("l.*").where("a <> b").distinct()
+        links, now = spool_counted(contracted, mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        if (now["rows"], now["mark"]) == (counted["rows"], counted.get("mark")):
+            break
+        counted = now
+    roots = links.select(F.col("b").alias("a")).unionByName(alone).distinct().select(F.col("a").alias("id"), F.col("a").alias("label"))
+    leaves = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    return leaves.unionByName(roots).groupBy("id").agg(F.min("label").alias("label"))
+
+
 def component(edges: DataFrame, source: int | str) -> DataFrame:
-    """Ids of the connected component of ``source`` regardless of direction."""
-    seed = edges.sparkSession.createDataFrame([(text_id(source),)], "id string")
-    return hops(edges, seed, "both").select("id")
+    """Ids of the connected component of ``source``; itself alone if no edge touches it."""
+    own = text_id(source)
+    labels = spool(components(edges))
+    label = labels.where(F.col("id") == own).select("label").first()
+    if label is None:
+        return edges.sparkSession.createDataFrame([(own,)], "id string")
+    return labels.where(F.col("label") == label[0]).select("id")
 
 
 def shortest_path(edges: DataFrame, source: int | str, target: int | str, max_hops: int | None = None) -> DataFrame:
     """step, id of one shortest path along out-edges; no rows if there is none.
 
-    Walks the hops' frontiers back from the target, taking the smallest id among the possible predecessors; the
-    driver holds one id per step.
+    The walk keeps the smallest predecessor of every id; going back reads one id per step from what it reached.
     """
     spark = edges.sparkSession
     goal = text_id(target)
-    layers = cut(hops(edges, spark.createDataFrame([(text_id(source),)], "id string"), "out", max_hops, goal))
-    end = layers.where(F.col("id") == goal).select("hop").first()
+    reached = spool(hops(edges, spark.createDataFrame([(text_id(source),)], "id string"), "out", max_hops, goal))
+    end = reached.where(F.col("id") == goal).first()
     if end is None:
         return spark.createDataFrame([], "step int, id string")
-    path, steps = [goal], _steps(edges, "out")
-    for hop in range(end.hop - 1, -1, -1):
-        before = layers.where(F.col("hop") == hop).join(steps.where(F.col("to") == path[-1]), F.col("id") == F.col("at"), "left_semi")
-        path.append(before.agg(F.min("id")).first()[0])
+    path = [goal]
+    while end.via is not None:
+        path.append(end.via)
+        end = reached.where(F.col("id") == end.via).first()
     return spark.createDataFrame(list(enumerate(reversed(path))), "step int, id string")
 
 

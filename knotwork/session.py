@@ -1,7 +1,8 @@
 """Session set-up and the two ways this library cuts lineage.
 
 Both write to the folder in ``spark.checkpoint.dir``, which all executors share, so a lost executor costs a
-re-read and never the result. Only where that setting is absent (tests, a laptop) a private folder is made.
+re-read and never the result. Only with a local master, where that setting is absent (tests, a laptop), a private
+folder is made; on a cluster it must be set.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _spools: list[tuple[SparkSession, str]] = []
 
@@ -56,6 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="knotwork-"))
         current = sc._jsc.sc().getCheckpointDir()
     return named or current.get()
@@ -67,6 +71,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spool_counted(df: DataFrame, **marks: Column) -> tuple[DataFrame, dict]:
+    """`spool`, with the number of rows and the aggregates ``marks`` observed while they are written."""
+    observed = Observation()
+    table = spool(df.observe(observed, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in marks.items())))
+    return table, observed.get
+
+
 def spool(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write to a compressed table in the shared folder and read it back: for wide rows."""
     spark = df.sparkSession

@@ -1,5 +1,6 @@
 """The graph engine on hand-made graphs: lookups, traversal, changes, merging, resources, export, facade."""
 
+import random
 import datetime as dt
 import json
 
@@ -361,3 +362,35 @@ def test_vectors_repeated_and_tied(spark):
     assert {r.embed_id for r in vector.nearest_batch(mirrored, q, 3).collect()} == {7, 8, 9}
     tied = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(600, 0, -1)] + [(0, [5.0, 5.0])], shape).coalesce(1)
     assert {r.embed_id for r in vector.nearest_batch(tied, q, 3).collect()} == {1, 2, 3}
+
+
+def test_component_of_a_long_path_takes_few_rounds(spark, monkeypatch):
+    n, writes = 500, []
+    rng = random.Random(5)
+    names = [f"v{rng.randrange(10**9):09d}" for _ in range(n)]
+    edges = spark.createDataFrame([(a, b) for a, b in zip(names, names[1:])] + [("x", "y"), ("z", "z"), (None, "x")], "source string, target string")
+    whole = traverse.spool_counted
+    monkeypatch.setattr(traverse, "spool_counted", lambda df, **marks: writes.append(1) or whole(df, **marks))
+    assert {r.id for r in traverse.component(edges, names[200]).collect()} == set(names)
+    assert len(writes) <= 16
+    assert {r.id for r in traverse.component(edges, "y").collect()} == {"x", "y"}
+    assert [r.id for r in traverse.component(edges, "z").collect()] == ["z"]
+    assert [r.id for r in traverse.component(edges, "nowhere").collect()] == ["nowhere"]
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_hops_against_breadth_first_search(spark, monkeypatch, small):
+    monkeypatch.setattr(traverse, "SMALL", small)
+    monkeypatch.setattr(traverse, "PIECES", 2)
+    rng = random.Random(9)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(75)] + [("n0", "n0"), ("n0", None)]
+    edges, seeds = spark.createDataFrame(pairs, "source string, target string"), spark.createDataFrame([("n0",), ("n1",), (None,)], "id string")
+    want, frontier, hop = {"n0": 0, "n1": 0}, {"n0", "n1"}, 0
+    while frontier:
+        hop += 1
+        frontier = {b for a, b in pairs if a in frontier and b is not None and b not in want}
+        want |= {x: hop for x in frontier}
+    got = traverse.hops(edges, seeds).collect()
+    assert {r.id: r.hop for r in got} == want and len(got) == len(want)
+    assert all(r.via is None if r.hop == 0 else (r.via, r.id) in set(pairs) and want[r.via] == r.hop - 1 for r in got)
+    assert {r.id: r.hop for r in traverse.hops(edges, seeds, max_hops=2).collect()} == {k: h for k, h in want.items() if h <= 2}
