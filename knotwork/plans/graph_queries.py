@@ -558,6 +558,16 @@ def merge_labels(spark, d):
     return merge.fold_labels(survivors, merge.incident(edges, _user_merge(spark, d)))
 
 
+@query(gv.sql("""SELECT n.id, n.label || coalesce(',' || t.more, '') AS label FROM cu n LEFT JOIN (
+  SELECT survivor, string_agg(label || ',', '' ORDER BY embed_id, place) AS more FROM (
+    SELECT m.survivor, g.label, g.embed_id, 0 AS place FROM ge g JOIN mrg m ON m.id = g.source
+    UNION ALL SELECT m.survivor, g.label, g.embed_id, 1 FROM ge g JOIN mrg m ON m.id = g.target) x GROUP BY 1) t ON t.survivor = n.id
+WHERE n.id NOT IN (SELECT id FROM mrg)""", *_MERGED))
+def merge_nodes(spark, d):
+    """The nodes after the whole of a merge by similarity."""
+    return merge.merge_by_similarity(_customers(spark, d), gv.edges(spark, d), _vectors(spark, d), 1.2, None)[0].select("id", "label")
+
+
 # Versioned resources.
 
 

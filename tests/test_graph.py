@@ -394,3 +394,25 @@ def test_hops_against_breadth_first_search(spark, monkeypatch, small):
     assert {r.id: r.hop for r in got} == want and len(got) == len(want)
     assert all(r.via is None if r.hop == 0 else (r.via, r.id) in set(pairs) and want[r.via] == r.hop - 1 for r in got)
     assert {r.id: r.hop for r in traverse.hops(edges, seeds, max_hops=2).collect()} == {k: h for k, h in want.items() if h <= 2}
+
+
+def test_fold_keeps_kinds(spark):
+    """Lists become one list, single values stay, objects and mixed kinds stand in a list, in edge order."""
+    rows = [
+        ("s", 1, 0, "l", '{"tags": ["a"], "one": true, "n": 1, "t": "x", "o": {"p": 1}, "m": [1], "none": null, "yes": true, "e": [], "solo": {"q": [2]}}'),
+        ("s", 2, 0, "l", '{"tags": ["b", {"c": 1}], "n": 2.5, "t": 3, "o": {"p": 2}, "m": "z", "none": null, "yes": true, "e": []}'),
+        ("s", 5, 1, "l", "not json"), ("s", 3, 0, "l", None), ("s", 4, 0, "l", "[1]"),
+    ]
+    folded = merging.fold_attributes(spark.createDataFrame(rows, "survivor string, embed_id long, end int, label string, attributes string"))
+    got = {r.key: json.loads(r.json) for r in folded.collect()}
+    assert got == {
+        "tags": ["a", "b", {"c": 1}], "one": True, "n": 3.5, "t": "x3", "o": [{"p": 1}, {"p": 2}], "m": [[1], "z"], "yes": 2, "e": [], "solo": {"q": [2]},
+    }
+
+
+def test_hub_labels_are_joined_in_order(spark):
+    rows = [("hub" if i % 3 else f"s{i}", i, 0, f"l{i}", None) for i in range(3000)]
+    random.Random(1).shuffle(rows)
+    touching = spark.createDataFrame(rows, "survivor string, embed_id long, end int, label string, attributes string").repartition(7)
+    nodes = spark.createDataFrame([("hub", "H")], "id string, label string")
+    assert merging.fold_labels(nodes, touching).first().label == "H," + "".join(f"l{i}," for i in range(3000) if i % 3)
