@@ -10,9 +10,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions import jsonschema
 from knotwork.operators import bundle, export, extract, lookup, merge, mutate, ontology, resources, retrieve, traverse, vector
 from knotwork.sources import files
-from knotwork.session import ship
+from knotwork.session import ship, spool
 from knotwork.sources.store import SnapshotStore
 
 
@@ -105,15 +106,16 @@ class GraphDB:
         return df.withColumn("attributes", mutate.with_own_id())
 
     def _commit(self, nodes: DataFrame, edges: DataFrame | None = None) -> None:
-        """Commit tables and bring the vectors in step: those of gone embed_ids leave, new ones are embedded."""
-        tables = {"nodes": nodes} | ({} if edges is None else {"edges": edges})
+        """Commit tables and vectors together: vectors of gone embed_ids leave, new rows are embedded."""
+        tables = {"nodes": spool(nodes)} | ({} if edges is None else {"edges": spool(edges)})  # made once for both
+        for name, text in (("nodes", vector.node_text()), ("edges", vector.edge_text())):
+            if name in tables:
+                vectors = f"{name[:-1]}_vectors"
+                rows = tables[name]
+                have = self.store.read(vectors).join(rows.select("embed_id"), "embed_id", "left_semi")
+                new = rows.join(have.select("embed_id"), "embed_id", "left_anti")
+                tables[vectors] = have.unionByName(new.select("embed_id", self.embedder.column(text).alias("vector")))
         self.store.commit(**tables)
-        for name, text in (("node_vectors", vector.node_text()), ("edge_vectors", vector.edge_text())):
-            rows = self.nodes if name == "node_vectors" else self.edges
-            have = self.store.read(name).join(rows.select("embed_id"), "embed_id", "left_semi")
-            new = rows.join(have.select("embed_id"), "embed_id", "left_anti")
-            made = new.select("embed_id", self.embedder.column(text).alias("vector"))
-            self.store.commit(**{name: have.unionByName(made)})
 
     # changes
 
@@ -185,6 +187,20 @@ class GraphDB:
         nodes, edges, _ = merge.merge_by_similarity(self.nodes, self.edges, self.store.read("node_vectors"), threshold, limit)
         self._commit(nodes, edges)
 
+    def from_networkx(self, graph, override: bool = True) -> GraphDB:
+        """Take in another program's graph. ``override``: its nodes, and their edges, are removed first and made anew;
+        else nodes are updated and edges added beside what is there."""
+        new, links = export.from_networkx(self.spark, graph)
+        nodes, edges = self.nodes, self.edges
+        if override:
+            nodes, edges = mutate.remove_nodes(nodes, edges, new.select("id"))
+        nodes = mutate.upsert_nodes(nodes, new.withColumn("attributes", mutate.with_own_id()))
+        self._commit(nodes, mutate.add_edges(nodes, edges, links))
+        return self
+
+    def to_networkx(self, limit: int | None = 10):
+        return export.to_networkx(self.nodes, self.edges, limit)
+
     # lookups
 
     def _first(self, rows: DataFrame) -> Any:
@@ -267,16 +283,23 @@ class GraphDB:
 class ResourceDB:
     """Versioned resources with relations and vectors, over a `SnapshotStore`.
 
-    ``validate`` says whether a document may be stored; a new one that may not is passed over, an update is an error.
+    ``schemas`` are JSON Schemas by type (lower case): a document must meet that of its type, one of another type be
+    an object. ``validate`` says besides whether a document may be stored. A new one that may not is passed over, an
+    update is an error.
     """
 
-    def __init__(self, spark: SparkSession, store: SnapshotStore | None = None, embedder=None, validate=None) -> None:
+    def __init__(
+        self, spark: SparkSession, store: SnapshotStore | None = None, embedder=None, validate=None, schemas: dict[str, Any] | None = None
+    ) -> None:
         self.spark = ship(spark)
         self.store = store or SnapshotStore(spark)
         self.embedder = embedder or vector.HashingEmbedder()
-        self.validate = validate or (lambda document: isinstance(document, dict))
+        self.validate, self.schemas = validate or (lambda document: True), schemas or {}
         self.store.initialize()
 
+    def _may(self, label: str, document: Any) -> bool:
+        return jsonschema.is_valid(document, self.schemas.get(label.lower(), {"type": "object"})) and self.validate(document)
+
     def _apply(self, op: str, kind: str, resource_id: int | str, document: dict | None) -> None:
         row = [(kind.lower(), str(resource_id), op, None if document is None else json.dumps(document), 0)]
         ops = self.spark.createDataFrame(row, "resource_type string, id string, op string, body string, seq long")
@@ -297,11 +320,11 @@ class ResourceDB:
         self.store.commit(resource_vectors=kept.unionByName(new.select(*keys, self.embedder.column(F.col("resource")).alias("vector"))))
 
     def add_node(self, label: str, document: dict, node_id: int | str) -> None:
-        if self.validate(document):
+        if self._may(label, document):
             self._apply("add", label, node_id, document)
 
     def update_node(self, label: str, document: dict, node_id: int | str) -> None:
-        if not self.validate(document):
+        if not self._may(label, document):
             raise ValueError("the document is not valid")
         self._apply("update", label, node_id, document)
 

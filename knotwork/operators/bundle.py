@@ -13,6 +13,9 @@ from knotwork.functions.strictjson import printable
 from knotwork.operators.mutate import keep_one
 from knotwork.operators.shred import read_object
 
+# Fixed value: the text that callers look for.
+NO_BUNDLE = "The provided JSON file is not a FHIR Bundle"
+
 FOUND = "parent string, label string, child string, nested boolean, bundle long, at long"
 
 
@@ -66,7 +69,7 @@ def require_bundle(text: str) -> None:
     """ValueError unless a file's text is a Bundle."""
     top = read_object(text)
     if top is None or top.get("resourceType") != "Bundle":
-        raise ValueError("The provided JSON file is not a FHIR Bundle")
+        raise ValueError(NO_BUNDLE)
 
 
 def type_edges(bundles: DataFrame, ontology: DataFrame, key: str = "id", body: str = "resource") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions.strictjson import decode
 from knotwork.operators import traverse
 from knotwork.operators.merge import last_of_parallel
 
@@ -29,10 +30,16 @@ def to_networkx(nodes: DataFrame, edges: DataFrame, limit: int | None = 10):
     ids = own.select("id")
     near = edges.join(ids, F.col("source") == F.col("id"), "left_semi").join(ids, F.col("target") == F.col("id"), "left_semi")
     for r in undirected_edges(near).toLocalIterator():
-        graph.add_edge(r.a, r.b, label=r.label, attributes=r.attributes)
+        graph.add_edge(r.a, r.b, **edge_data(r.label, r.attributes))
     return graph
 
 
+def edge_data(label: str | None, attributes: str | None) -> dict:
+    """What a networkx edge carries: the fields of its document beside the label; a text that is no object as it is."""
+    found = decode(attributes)
+    return {**found, "label": label} if isinstance(found, dict) else {"label": label, "attributes": attributes}
+
+
 def from_networkx(spark: SparkSession, graph) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of any object with ``nodes(data=True)`` and ``edges(data=True)``."""
     import json

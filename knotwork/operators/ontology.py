@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions.jsonschema import meets_by_type
 from knotwork.operators.mutate import add_edges, add_node_type, add_nodes
 
+# Fixed value: the text that callers look for.
 NO_MATCH = "Node type or attributes does not match any of the provided ontologies."
 
 
@@ -52,6 +54,11 @@ def match(nodes: DataFrame, ontology: DataFrame, ignore: tuple[str, ...] = ("id"
     return joined.withColumn("valid", fits).drop("_class", "_properties")
 
 
+def match_schemas(nodes: DataFrame, schemas: dict) -> DataFrame:
+    """Nodes with ``valid``: the label is a type that has a JSON Schema and the document meets it."""
+    return nodes.withColumn("valid", F.coalesce(F.col("label").isin(*schemas), F.lit(False)) & meets_by_type("attributes", "label", schemas))
+
+
 def insert_with_ontologies(
     nodes: DataFrame, edges: DataFrame, new: DataFrame, ontologies: list[DataFrame], delete_if_not_matching: bool = False
 ) -> tuple[DataFrame, DataFrame]:

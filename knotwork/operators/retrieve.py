@@ -31,6 +31,22 @@ def nodes_like(nodes: DataFrame, vectors: DataFrame, label: str, embedder, thres
     return nodes.join(F.broadcast(hits.select("embed_id").distinct()), "embed_id").select("id", "label", "attributes").distinct()
 
 
+def retrieve_batch(
+    nodes: DataFrame, edges: DataFrame, node_vectors: DataFrame, queries: DataFrame, k: int = 1, threshold: float | None = 0.9
+) -> DataFrame:
+    """query_id, id, attributes: for many queries (query_id, vector) at once the k nearest nodes and their neighbours.
+
+    One plan for all queries: one scan of the vectors, then two joins along the edges.
+    """
+    hits = vector.nearest_batch(node_vectors, queries, k, threshold).select("query_id", "embed_id")
+    seeds = nodes.join(hits, "embed_id").select("query_id", "id").distinct()
+    ends = edges.select("source", "target")
+    out = seeds.join(ends, F.col("id") == F.col("source")).select("query_id", F.col("target").alias("id"))
+    back = seeds.join(ends, F.col("id") == F.col("target")).select("query_id", F.col("source").alias("id"))
+    around = seeds.unionByName(out).unionByName(back).distinct()
+    return around.join(nodes, "id").select("query_id", "id", "attributes").distinct()
+
+
 class Retriever:
     """Passages for questions: the documents of the nodes around each question's nearest nodes and edges."""
 

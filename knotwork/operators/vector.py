@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from knotwork.functions import typed
+from knotwork.functions import jsontext, typed
+from knotwork.functions.strictjson import is_json_object
 
 #: Queries of a batch that meet the vectors together, and that a task holds.
 QUERY_BLOCK = 4096
@@ -249,8 +250,10 @@ class ClientEmbedder:
 
 
 def node_text() -> Column:
-    """The text a node is embedded by: its document with id and label."""
-    return F.to_json(F.struct(F.col("attributes"), F.col("id"), F.col("label")))
+    """The text a node is embedded by: its document with id and label in it; one that is no object as a field beside."""
+    own = F.to_json(F.struct("id", "label"))
+    beside = F.to_json(F.struct(F.col("attributes"), F.col("id"), F.col("label")))
+    return F.when(is_json_object("attributes"), jsontext.merge("attributes", own)).otherwise(beside)
 
 
 def edge_text() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.plans import data_queries, graph_queries
+from knotwork.plans import data_queries, graph_queries, store_queries
 
-QUERIES = {**data_queries.QUERIES, **graph_queries.QUERIES}
-SQL = {**data_queries.SQL, **graph_queries.SQL}
+QUERIES = {**data_queries.QUERIES, **graph_queries.QUERIES, **store_queries.QUERIES}
+SQL = {**data_queries.SQL, **graph_queries.SQL, **store_queries.SQL}

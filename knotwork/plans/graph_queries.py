@@ -611,11 +611,12 @@ def resource_deleted(spark, d):
     return _store(spark, d)[1].where("status = 'deleted'").groupBy("resource_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT id, txid FROM (SELECT event_type, user_id::VARCHAR AS id, event_id AS txid, event_id % 5 = 3 AS gone FROM events WHERE event_id <= 700
+@query("""SELECT id, txid FROM (SELECT event_type, user_id::VARCHAR AS id, event_id AS txid, event_id % 5 = 3 AS gone FROM events WHERE event_id <= (SELECT (min(event_id) + max(event_id)) // 2 FROM events)
 QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1) x WHERE NOT gone""")
 def resource_as_of(spark, d):
     log = _operations(spark, d).select("resource_type", "id", F.col("seq").alias("txid"), F.expr("case when op = 'remove' then 'deleted' else 'updated' end").alias("status"))
-    return resources.as_of(log, 700).select("id", "txid")
+    first, last = log.agg(F.min("txid"), F.max("txid")).first()
+    return resources.as_of(log, (first + last) // 2).select("id", "txid")
 
 
 @query("SELECT DISTINCT resource FROM devicerequest WHERE resource_type = 'DeviceRequest' AND id = (SELECT min(id) FROM devicerequest WHERE resource_type = 'DeviceRequest')")

@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.operators import ontology as onto
-from knotwork.operators.bundle import require_bundle
+from knotwork.operators.bundle import NO_BUNDLE
 
 
 def read_bundles(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """id, resource: one row per file. With ``check`` a single file that is no Bundle is an error."""
+    """id, resource: one row per file. With ``check`` a file that is no Bundle, whichever, is an error that names it."""
     files = spark.read.option("wholetext", True).text(path)
     rows = files.select(F.xxhash64(F.col("_metadata.file_path")).alias("id"), F.col("value").alias("resource"))
     if check:
-        for r in rows.limit(1).collect():
-            require_bundle(r.resource)
+        kind = lambda text: F.try_variant_get(F.try_parse_json(text), "$.resourceType", "string")
+        inner = F.try_variant_get(F.try_parse_json("resource"), "$", "string")  # a text in a text is read once more
+        is_bundle = F.coalesce(kind(F.col("resource")), kind(inner)) == "Bundle"
+        paths = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("resource"))
+        wrong = paths.where(~F.coalesce(is_bundle, F.lit(False))).select("path").orderBy("path").first()  # of all files
+        if wrong is not None:
+            raise ValueError(f"{NO_BUNDLE}: {wrong.path}")
     return rows
 
 
