@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from knotwork.functions.arrow import arrow_schema
 from knotwork.functions.strictjson import decode, encode, printable
 from knotwork.operators.changefeed import known_status
-from knotwork.session import shuffle_partitions, spool
+from knotwork.session import range_partitions, spool
 
 STORE = (
     "part int, seg long, key string, entries array<struct<seq: long, ts: timestamp, deleted: boolean, "
@@ -164,7 +164,7 @@ def build_history(
         F.col("__kw_deleted").alias("deleted"),
         F.when(~F.col("__kw_deleted"), F.col(body)).alias("body"),
     )
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), "key", "seq").sortWithinPartitions(
+    ordered = rows.repartitionByRange(range_partitions(rows), "key", "seq").sortWithinPartitions(
         "key", "seq", F.col("ts").desc_nulls_last(), F.col("body").desc_nulls_last()
     )
     segments = spool(ordered.mapInArrow(_scanner(every, ignore), STORE))

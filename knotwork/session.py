@@ -66,9 +66,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: for narrow rows whose partitioning should stay."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage. A written table does it in one pass, where a checkpoint runs the plan twice."""
+    return spool(df)
 
 
 def spool_counted(df: DataFrame, **marks: Column) -> tuple[DataFrame, dict]:
@@ -102,3 +101,15 @@ def _drop_spools() -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of input for one partition of a range sort.
+RANGE_BYTES = 64 << 20
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partitions for a range sort of ``df``: the session's number, or more where the files it reads are large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # a table that is no file has no size
+    return max(shuffle_partitions(df.sparkSession), min(-(-known // RANGE_BYTES), 1 << 17))
