@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 
 from knotwork.functions.arrow import arrow_schema
 from knotwork.functions.strictjson import INVALID, decode, encode
-from knotwork.session import shuffle_partitions, spool
+from knotwork.session import range_partitions, spool
 
 _WORD = re.compile(r"[^\W_]+")
 #: Parts of a key stand apart by this character, which no folded text holds.
@@ -156,7 +156,7 @@ def copy_runs(canonical: DataFrame) -> DataFrame:
     """
     spark = canonical.sparkSession
     rows = spool(canonical.withColumn("h", F.xxhash64("tbl", "key")))
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), "h", "tbl", "key", "id").sortWithinPartitions(
+    ordered = rows.repartitionByRange(range_partitions(rows), "h", "tbl", "key", "id").sortWithinPartitions(
         "h", "tbl", "key", "id"
     )
     runs = spool(ordered.select("tbl", "key", "id").mapInArrow(_scanner(), RUNS))
