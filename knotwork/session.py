@@ -110,6 +110,6 @@ RANGE_BYTES = 64 << 20
 def range_partitions(df: DataFrame) -> int:
     """Partitions for a range sort of ``df``: the session's number, or more where the files it reads are large."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(x for x in sizes if x < 1 << 60)  # a table that is no file has no size
     return max(shuffle_partitions(df.sparkSession), min(-(-known // RANGE_BYTES), 1 << 17))
