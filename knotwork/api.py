@@ -117,6 +117,15 @@ class GraphDB:
                 tables[vectors] = have.unionByName(new.select("embed_id", self.embedder.column(text).alias("vector")))
         self.store.commit(**tables)
 
+    def _grow(self, nodes: DataFrame | None, edges: DataFrame | None = None) -> None:
+        """Append what the grown tables hold beyond the stored ones, with its vectors; only new rows are written."""
+        tables: dict[str, DataFrame] = {}
+        for name, grown, text in (("nodes", nodes, vector.node_text()), ("edges", edges, vector.edge_text())):
+            if grown is not None:
+                tables[name] = spool(grown.join(self.store.read(name).select("embed_id"), "embed_id", "left_anti"))
+                tables[f"{name[:-1]}_vectors"] = tables[name].select("embed_id", self.embedder.column(text).alias("vector"))
+        self.store.append(**tables)
+
     # changes
 
     def add_node(self, node: Node, delete_if_properties_not_match: bool = False) -> None:
@@ -127,7 +136,7 @@ class GraphDB:
         if self.ontologies:
             self._commit(*ontology.insert_with_ontologies(self.nodes, self.edges, rows.drop("_at"), self.ontologies, delete_if_properties_not_match))
         else:
-            self._commit(mutate.add_nodes(self.nodes, rows, "_at").drop("_at"))
+            self._grow(mutate.add_nodes(self.nodes, rows, "_at").drop("_at"))
 
     def add_edge(self, edge: EdgeInput | Edge) -> None:
         self.add_edges([edge])
@@ -136,7 +145,7 @@ class GraphDB:
         end = lambda x: str(x.id) if isinstance(x, Node) else str(x)
         rows = [(i, end(e.source), end(e.target), e.label, _document(e.attributes)) for i, e in enumerate(edges)]
         new = self.spark.createDataFrame(rows, "_at int, source string, target string, label string, attributes string")
-        self._commit(self.nodes, mutate.add_edges(self.nodes, self.edges, new, "_at").drop("_at"))
+        self._grow(None, mutate.add_edges(self.nodes, self.edges, new, "_at").drop("_at"))
 
     insert_edge = add_edge
 
@@ -169,7 +178,7 @@ class GraphDB:
         nodes, edges, unknown = mutate.remap_graph(new_nodes, new_edges)
         nodes = nodes.withColumn("attributes", mutate.with_own_id())
         grown = mutate.add_nodes(self.nodes, nodes)
-        self._commit(grown, mutate.add_edges(grown, self.edges, edges))
+        self._grow(grown, mutate.add_edges(grown, self.edges, edges))
         return graph if unknown.isEmpty() else KnowledgeGraph([], [])
 
     def _plain_nodes(self, nodes: list[Node]) -> DataFrame:

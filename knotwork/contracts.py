@@ -53,4 +53,6 @@ class TableStore(Protocol):
 
     def commit(self, **tables: DataFrame) -> None: ...
 
+    def append(self, **tables: DataFrame) -> None: ...
+
     def vacuum(self) -> int: ...

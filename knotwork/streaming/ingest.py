@@ -14,7 +14,8 @@ def stream_nodes(source: DataFrame, store: SnapshotStore, checkpoint: str) -> St
     """New nodes (id, label, attributes) into the store; known ids are passed over, so a replayed batch is harmless."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        store.commit(nodes=mutate.add_nodes(store.read("nodes"), batch))
+        nodes = store.read("nodes")
+        store.append(nodes=mutate.add_nodes(nodes, batch).join(nodes.select("embed_id"), "embed_id", "left_anti"))
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

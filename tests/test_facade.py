@@ -161,3 +161,33 @@ def test_a_cluster_must_name_its_folder(spark, monkeypatch):
     fake = type("Session", (), {"conf": type("Conf", (), {"get": staticmethod(lambda *a: None)}), "sparkContext": Context})
     with pytest.raises(RuntimeError):
         shared_dir(fake)
+
+
+def test_rows_are_appended(spark, tmp_path, monkeypatch):
+    from knotwork.sources import store as module
+
+    monkeypatch.setattr(module, "PARTS", 2)
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    row = lambda i: spark.createDataFrame([(f"n{i}", i)], "id string, embed_id long")
+    for i in range(5):
+        store.append(nodes=row(i), node_vectors=spark.createDataFrame([(i, [1.0])], "embed_id long, vector array<float>"))
+        assert sorted(r.embed_id for r in store.read("nodes").collect()) == list(range(i + 1)) and store.read("node_vectors").count() == i + 1
+        assert len(store._pointer()["nodes"]) <= 2
+    store.commit(nodes=row(9))
+    assert [r.id for r in store.read("nodes").collect()] == ["n9"] and store.vacuum() > 0 and store.read("node_vectors").count() == 5
+    memory = SnapshotStore(spark)
+    memory.append(nodes=row(1))
+    memory.append(nodes=row(2))
+    assert memory.read("nodes").count() == 2
+
+
+def test_single_inserts_write_only_what_is_new(spark, tmp_path):
+    with GraphDB(spark, SnapshotStore(spark, str(tmp_path / "g"))) as g:
+        g.add_nodes([Node("a", "L", {}), Node("b", "L", {})])
+        first = g.store._pointer()["nodes"]
+        g.add_nodes([Node("b", "other", {}), Node("c", "L", {})])
+        assert g.store._pointer()["nodes"][: len(first)] == first
+        g.add_edge(Edge("a", "b", "R", {}))
+        g.add_edge(Edge("a", "gone", "R", {}))
+        assert g.nodes.count() == 3 and g.edges.count() == 1 and g.search_node_label("b") == "L"
+        assert g.store.read("node_vectors").count() == 3 and g.store.read("edge_vectors").count() == 1
