@@ -2,7 +2,8 @@
 
 One table holds all resource types, partitioned by type. A batch of operations is ordered by (type, seq); every
 operation gets the type's next transaction number. What an operation does follows from the one before it on the same
-resource, so a window per resource decides all of them at once.
+resource. Operations are range-partitioned by resource and number, so that a resource with a large share of them fills
+as many partitions as it needs; what stands before a partition is the last row of the one before, one row each.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.operators.mutate import keep_one, number_rows
-from knotwork.session import cut
+from knotwork.session import cut, range_partitions
 
 OPERATIONS = ("add", "update", "remove")
 
@@ -27,6 +28,25 @@ def _numbered(history: DataFrame, ops: DataFrame) -> DataFrame:
     )
 
 
+def _with_previous(line: DataFrame) -> DataFrame:
+    """Every row with ``exists``: the row before it on its resource leaves it in being, and ``held``: its body then.
+
+    A row without operation is the resource as it was before the batch.
+    """
+    order = ["resource_type", "id", "txid"]
+    ranged = cut(line.repartitionByRange(range_partitions(line), *order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("resource_type", "id", "_part").orderBy("txid")
+    row = F.struct("resource_type", "id", F.coalesce("op", F.lit("add")).alias("op"), "body")
+    placed = ranged.withColumn("_lag", F.lag(row).over(w))
+    tails = ranged.groupBy("_part").agg(F.max_by(row, F.struct(*order)).alias("_tail"))  # a row per partition
+    before = tails.select("_part", F.lag("_tail").over(Window.orderBy("_part")).alias("_tail"))
+    joined = placed.join(F.broadcast(before), "_part", "left")
+    spans = (F.col("_tail.resource_type") == F.col("resource_type")) & (F.col("_tail.id") == F.col("id"))
+    previous = F.coalesce("_lag", F.when(spans, F.col("_tail")))
+    exists = F.coalesce(previous["op"] != "remove", F.lit(False))
+    return joined.withColumn("exists", exists).withColumn("held", F.when(exists, previous["body"])).drop("_part", "_lag", "_tail")
+
+
 def apply_operations(current: DataFrame, history: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(current, history) after ``ops``: resource_type, id, op ('add', 'update', 'remove'), body, seq, ts.
 
@@ -42,15 +62,9 @@ def apply_operations(current: DataFrame, history: DataFrame, ops: DataFrame) ->
     numbered = cut(_numbered(history, valid))
     before = current.select(
         "resource_type", "id", F.lit(None).cast("string").alias("op"), F.col("resource").alias("body"),
-        F.lit(None).cast(dict(ops.dtypes)["seq"]).alias("seq"), "ts", F.lit(0).cast("long").alias("txid"), "embed_id",
+        F.lit(None).cast(dict(ops.dtypes)["seq"]).alias("seq"), "ts", F.lit(0).cast("long").alias("txid"),
     )
-    line = numbered.withColumn("embed_id", F.lit(None).cast("long")).unionByName(before.select(*numbered.columns, "embed_id"))
-    w = Window.partitionBy("resource_type", "id").orderBy("txid")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    exists = F.coalesce(F.lag("op").over(w), F.when(F.lag("txid").over(w) == 0, F.lit("add")), F.lit("remove")) != "remove"
-    stepped = line.withColumn("exists", exists).withColumn("held", F.when(F.col("exists"), F.last("body", True).over(past)))
-    held_id = F.max("embed_id").over(Window.partitionBy("resource_type", "id"))
-    stepped = cut(stepped.withColumn("old_embed_id", held_id))
+    stepped = cut(_with_previous(numbered.unionByName(before.select(*numbered.columns))))
     acts = stepped.where("op is not null")
     logged = acts.select(
         "resource_type", "id", "txid", "ts",
@@ -58,7 +72,9 @@ def apply_operations(current: DataFrame, history: DataFrame, ops: DataFrame) ->
         F.when(F.col("op") == "update", F.col("body")).otherwise(F.col("held")).alias("resource"),
     ).where("status is not null")
     last = keep_one(stepped, ["resource_type", "id"], F.col("txid").desc()).where("op is null or op <> 'remove'")
-    changed = last.where("op is not null").select(
+    # one row per resource on either side
+    owned = current.select("resource_type", "id", F.col("embed_id").alias("old_embed_id"))
+    changed = last.where("op is not null").join(owned, ["resource_type", "id"], "left").select(
         "resource_type", "id", "old_embed_id", "txid", "ts",
         F.expr("case when op = 'update' then 'updated' when exists then 'recreated' else 'created' end").alias("status"),
         F.col("body").alias("resource"),

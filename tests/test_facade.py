@@ -191,3 +191,27 @@ def test_single_inserts_write_only_what_is_new(spark, tmp_path):
         g.add_edge(Edge("a", "gone", "R", {}))
         assert g.nodes.count() == 3 and g.edges.count() == 1 and g.search_node_label("b") == "L"
         assert g.store.read("node_vectors").count() == 3 and g.store.read("edge_vectors").count() == 1
+
+
+def test_a_hot_resource_spans_partitions(spark):
+    """One resource has most operations; every step follows from the one before it, wherever partitions end."""
+    import random
+
+    from knotwork.operators import resources
+    from knotwork.schema import empty
+
+    rng = random.Random(2)
+    ops = [("T", "hot" if rng.random() < 0.8 else f"r{rng.randrange(9)}", rng.choice(["add", "update", "remove"]), f'{{"n":{i}}}', i, None) for i in range(900)]
+    df = spark.createDataFrame(ops, "resource_type string, id string, op string, body string, seq long, ts timestamp")
+    _, history = resources.apply_operations(empty(spark, "resources"), empty(spark, "resource_history"), df)
+    want, state = [], {}
+    for i, (_, own, op, body, _, _) in enumerate(ops):
+        held = state.get(own)
+        if op == "add" and held is not None:
+            want.append((own, i + 1, "created", held))
+        elif op == "update":
+            want.append((own, i + 1, "updated", body))
+        elif op == "remove" and held is not None:
+            want.append((own, i + 1, "deleted", held))
+        state[own] = None if op == "remove" else body
+    assert sorted((r.id, r.txid, r.status, r.resource) for r in history.collect()) == sorted(want)
