@@ -125,12 +125,9 @@ def neighbours_of(nodes: DataFrame, edges: DataFrame, ids: DataFrame, limit: int
     """Nodes at both ends of the edges that touch any of ``ids`` (column id). ``limit`` counts edges; 1 as in the
     reference's default. Ends without a node drop out."""
     wanted = ids.select("id").distinct()
-    rows = edges.select("embed_id", "source", "target")
-    touched = (
-        rows.join(wanted.withColumnRenamed("id", "source"), "source", "left_semi").select(*rows.columns)
-        .unionByName(rows.join(wanted.withColumnRenamed("id", "target"), "target", "left_semi").select(*rows.columns))
-        .distinct()
-    )
+    flag = lambda end: wanted.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
+    rows = edges.select("embed_id", "source", "target").join(flag("source"), "source", "left").join(flag("target"), "target", "left")
+    touched = rows.where("_source or _target").select("embed_id", "source", "target").distinct()
     ends = limited(touched, limit, "embed_id").select(F.explode(F.array("source", "target")).alias("id")).distinct()
     return nodes.join(ends, "id", "left_semi").select("id", "label", "attributes").distinct()
 
