@@ -30,7 +30,7 @@ def type_name(declared: str) -> str:
 
 def from_types(spark: SparkSession, classes: dict[str, dict[str, str]]) -> DataFrame:
     """The ontology table of {class: {property: declared type}}."""
-    rows = [(c, p, type_name(str(t))) for c, ps in classes.items() for p, t in (ps.items() or [(None, None)])]
+    rows = [(c, p, None if t is None else type_name(str(t))) for c, ps in classes.items() for p, t in (ps.items() or [(None, None)])]
     return spark.createDataFrame(rows, "class string, property string, range string")
 
 
@@ -97,9 +97,10 @@ def class_graph(ontology: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).distinct()
 
 
-def resource_nodes(resources: DataFrame, body: str = "resource") -> DataFrame:
-    """Nodes of resources: id, type as label, document. Dates in JSON are ISO text already."""
+def resource_nodes(resources: DataFrame, body: str = "resource", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes of resources: id, type as label, document, and columns to keep. Dates in JSON are ISO text already."""
     return resources.select(
+        *keep,
         F.get_json_object(body, "$.id").alias("id"), F.get_json_object(body, "$.resourceType").alias("label"), F.col(body).alias("attributes")
     ).where("id is not null and label is not null")
 

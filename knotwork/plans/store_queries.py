@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knotwork.operators import collection, current, export, lookup, ontology, traverse, vector
+from knotwork.functions import jsonschema
+from knotwork.operators import collection, current, export, lookup, mutate, ontology, retrieve, traverse, vector
 from knotwork.plans import graph_view as gv
 from knotwork.plans.data_queries import _TOPS, _USABLE
-from knotwork.plans.graph_queries import _DIST, _TYPES
+from knotwork.plans.graph_queries import _CUST, _DIST, _TYPES, _customers, _knn_sql, _vector_of, _vectors
 from knotwork.plans.tables import table
 
 QUERIES: dict = {}
@@ -221,3 +222,95 @@ def dot_labels_of_texts(spark, d):
     """Labels of documents that are no objects: the text as it is."""
     rows = table(spark, d, "nodes").where(F.col("attributes").isNull() | F.try_parse_json("attributes").isNull())
     return rows.select("embed_id", F.col("attributes").alias("raw"), export.label_of().alias("label"))
+
+
+_DOC = "CASE WHEN json_valid(attributes) THEN json(attributes)::VARCHAR ELSE attributes END"
+
+
+@query(f"""WITH base AS (SELECT source, target, {_DOC} AS doc FROM edges WHERE label IS NOT NULL),
+new AS (SELECT DISTINCT source, target, {_DOC} AS doc FROM edges WHERE attributes IS NOT NULL),
+added AS (SELECT source, target FROM new WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.source = new.source AND b.target = new.target AND b.doc = new.doc))
+SELECT source, target, count(*) AS n FROM (SELECT source, target FROM base UNION ALL SELECT source, target FROM added) x GROUP BY 1, 2""")
+def add_edges_to_stored(spark, d):
+    """All edges offered to a table that holds those with a label already."""
+    edges = table(spark, d, "edges")
+    new = edges.where("attributes is not null").select("source", "target", "label", "attributes")
+    added = mutate.add_edges(table(spark, d, "nodes"), edges.where("label is not null"), new, stamp=False)
+    return added.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+_GONE = "(SELECT id FROM nodes WHERE label IS NULL AND id IS NOT NULL)"
+
+
+@query(f"""SELECT 'node' AS kind, embed_id FROM nodes WHERE id IS NULL OR id NOT IN {_GONE}
+UNION ALL SELECT 'edge', embed_id FROM edges WHERE (source IS NULL OR source NOT IN {_GONE}) AND (target IS NULL OR target NOT IN {_GONE})""")
+def cascade_delete_rows(spark, d):
+    nodes, edges = table(spark, d, "nodes"), table(spark, d, "edges")
+    left, links = mutate.remove_nodes(nodes, edges, nodes.where("label is null").select("id"))
+    return left.select(F.lit("node").alias("kind"), "embed_id").unionByName(links.select(F.lit("edge").alias("kind"), "embed_id"))
+
+
+_ORDERED = "oe AS (SELECT 'c' || o_custkey AS source, 'o' || o_orderkey AS target, o_orderkey AS embed_id FROM orders)"
+
+
+def _ordered(spark, d):
+    """Orders as edges from their customer."""
+    return table(spark, d, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("target"),
+        F.lit("ORDERED").alias("label"), F.lit("{}").alias("attributes"), F.col("o_orderkey").alias("embed_id"),
+    )
+
+
+@query(f"""WITH {_knn_sql(5)}, {_CUST}, {_ORDERED}, hit AS (SELECT source, target FROM knn JOIN oe USING (embed_id)),
+seeds AS (SELECT id FROM cu WHERE embed_id IN (SELECT embed_id FROM knn) UNION SELECT source FROM hit UNION SELECT target FROM hit)
+SELECT DISTINCT id, label, attributes FROM cu WHERE id IN (SELECT id FROM seeds)
+OR id IN (SELECT unnest([source, target]) FROM oe WHERE source IN (SELECT id FROM seeds) OR target IN (SELECT id FROM seeds))""")
+def search_subgraph_both(spark, d):
+    """Nodes around the nearest nodes and the nearest edges."""
+    return retrieve.search_subgraph(
+        _customers(spark, d), _ordered(spark, d), _vectors(spark, d), _vectors(spark, d), _vector_of(spark, d, 0), 5, None
+    )[0]
+
+
+@query(f"""WITH {_CUST}, {_ORDERED}, pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS embed_id, {_DIST.format(a="e.embedding", b="q.embedding")} AS distance
+  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+seeds AS (SELECT query_id, cu.id FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, embed_id) <= 3) x JOIN cu USING (embed_id)),
+near AS (SELECT * FROM seeds UNION SELECT query_id, target FROM seeds JOIN oe ON source = id UNION SELECT query_id, source FROM seeds JOIN oe ON target = id)
+SELECT DISTINCT query_id, near.id FROM near JOIN cu ON cu.id = near.id""")
+def retrieve_many(spark, d):
+    """Queries are the vectors whose id is divisible by 50, against all."""
+    queries = _vectors(spark, d).where("embed_id % 50 = 0").withColumnRenamed("embed_id", "query_id")
+    found = retrieve.retrieve_batch(_customers(spark, d), _ordered(spark, d), _vectors(spark, d), queries, 3, None)
+    return found.select("query_id", "id").distinct()
+
+
+_NAMED = {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "mrn": {"type": "string"}}}
+
+
+@query("""SELECT DISTINCT embed_id FROM (SELECT embed_id, label, CASE WHEN json_valid(attributes) THEN attributes END AS doc FROM nodes) n
+WHERE json_type(doc) = 'OBJECT' AND (label NOT IN ('Symptom', 'Medication') OR label IS NULL
+  OR (json_type(doc, '$.name') = 'VARCHAR' AND coalesce(json_type(doc, '$.mrn'), 'VARCHAR') = 'VARCHAR'))""")
+def schema_valid_nodes(spark, d):
+    """Nodes whose document meets the schema of their label; labels without one take any object."""
+    nodes = table(spark, d, "nodes")
+    return nodes.where(jsonschema.meets_by_type("attributes", "label", {"Symptom": _NAMED, "Medication": _NAMED})).select("embed_id").distinct()
+
+
+@query(f"SELECT class, property, range FROM (VALUES {_CLASS_ROWS}) o(class, property, range)")
+def ontology_table(spark, d):
+    return ontology.from_types(spark, _TYPES)
+
+
+@query("SELECT embed_id, id AS own FROM nodes WHERE id IS NOT NULL")
+def own_id_in_document(spark, d):
+    nodes = table(spark, d, "nodes").where("id is not null").withColumn("attributes", mutate.with_own_id())
+    return nodes.select("embed_id", F.get_json_object("attributes", "$.id").alias("own"))
+
+
+@query("""SELECT DISTINCT embed_id, doc ->> '$.id' AS id, doc ->> '$.resourceType' AS label FROM (
+  SELECT embed_id, CASE WHEN json_valid(resource) THEN resource END AS doc FROM devicerequest) r
+WHERE json_type(doc) = 'OBJECT' AND doc ->> '$.id' IS NOT NULL AND doc ->> '$.resourceType' IS NOT NULL""")
+def resources_as_nodes(spark, d):
+    sound = table(spark, d, "devicerequest").where(F.try_parse_json("resource").isNotNull())
+    return ontology.resource_nodes(sound.select("embed_id", "resource"), keep=("embed_id",)).select("embed_id", "id", "label").distinct()
