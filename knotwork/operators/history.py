@@ -111,6 +111,13 @@ def _scanner(every: int, ignore: tuple[str, ...]):
     return scan
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch without rows given twice: a change that is sent again and again leaves few rows to be sorted."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        yield from table.group_by(batch.schema.names, use_threads=False).aggregate([]).to_batches()
+
+
 def _resolve(borders: list) -> list[tuple[int, bool, int]]:
     """(part, continues, end of its last segment), from at most two rows per partition."""
     parts: dict[int, dict] = {}
@@ -164,7 +171,8 @@ def build_history(
         F.col("__kw_deleted").alias("deleted"),
         F.when(~F.col("__kw_deleted"), F.col(body)).alias("body"),
     )
-    ordered = rows.repartitionByRange(range_partitions(rows), "key", "seq").sortWithinPartitions(
+    once = rows.mapInArrow(_distinct, rows.schema)
+    ordered = once.repartitionByRange(range_partitions(rows), "key", "seq").sortWithinPartitions(
         "key", "seq", F.col("ts").desc_nulls_last(), F.col("body").desc_nulls_last()
     )
     segments = spool(ordered.mapInArrow(_scanner(every, ignore), STORE))
