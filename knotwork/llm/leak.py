@@ -55,7 +55,7 @@ class Leak:
     rank: int = 64
     oversample: int = 16
     rounds: int = 2
-    min_cosine: float = 0.3
+    min_cosine: float = 0.2
     #: Paraphrases must be nearer, and share this much of the passage retrieved as a subsequence.
     paraphrase_cosine: float = 0.4
     min_lcs: float = 0.7
