@@ -316,6 +316,14 @@ def lcs_lengths(passages: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return row[:, -1].astype(np.int64)
 
 
+def _words_inside(passages: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """How many words of every passage stand in the window beside it, in whatever order."""
+    inside = np.zeros(len(windows), np.int16)
+    for word in passages.T:
+        inside += (windows == word[:, None]).any(axis=1) & (word > 0)
+    return inside
+
+
 def _contains(codes: np.ndarray, part: tuple[int, ...]) -> bool:
     n = len(codes) - len(part) + 1
     if n <= 0:
@@ -422,6 +430,9 @@ def _searcher(shared, leak: Leak, paraphrases: bool, rejected: bool):
         model: Model = shared.value
         n_items = len(model.ids)
         around = 2 * leak.run + leak.passage
+        least = np.minimum(leak.overlap, model.lengths)  # what a candidate must have in common with its passage
+        if paraphrases:
+            least = np.minimum(least, np.ceil(leak.min_lcs * model.lengths - 1e-9).astype(np.int64))
         for batch in batches:
             out: list[tuple] = []
             for ids, codes in groups(batch) if len(model.passages) else ():
@@ -440,10 +451,13 @@ def _searcher(shared, leak: Leak, paraphrases: bool, rejected: bool):
                 parts: dict[tuple[int, int], float] = {}  # greatest share of a passage in a window
                 nearest: dict[tuple[int, int], float] = {}
                 for w, p, cosine in retrieve(model, halves, after):
-                    windows = np.concatenate([halves[w], halves[after[w]]], axis=1)
-                    common = lcs_lengths(model.wordings[p], windows)
                     if rejected:
                         _keep_greatest(nearest, owner[w], p, cosine, model)
+                    windows = np.concatenate([halves[w], halves[after[w]]], axis=1)
+                    # no subsequence is longer than the words of the passage that stand in the window at all
+                    able = np.flatnonzero(_words_inside(model.wordings[p], windows) >= least[p])
+                    w, p, cosine, windows = w[able], p[able], cosine[able], windows[able]
+                    common = lcs_lengths(model.wordings[p], windows)
                     if paraphrases:
                         share = common / model.lengths[p]
                         near = np.flatnonzero((cosine >= leak.paraphrase_cosine) & (share >= leak.min_lcs))
