@@ -314,3 +314,10 @@ WHERE json_type(doc) = 'OBJECT' AND doc ->> '$.id' IS NOT NULL AND doc ->> '$.re
 def resources_as_nodes(spark, d):
     sound = table(spark, d, "devicerequest").where(F.try_parse_json("resource").isNotNull())
     return ontology.resource_nodes(sound.select("embed_id", "resource"), keep=("embed_id",)).select("embed_id", "id", "label").distinct()
+
+
+# Queries whose functions stand with the other graph queries.
+SQL["ontology_class_graph"] = SQL["ontology_edges"]
+SQL["find_nodes_like"] = """WITH cur AS (SELECT id, embed_id, label FROM nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, embed_id DESC) = 1),
+first AS (SELECT label FROM cur WHERE label ILIKE '%vital%' ORDER BY embed_id, id LIMIT 1)
+SELECT id, label FROM cur WHERE lower(label) = (SELECT lower(label) FROM first) ORDER BY embed_id LIMIT 1"""
